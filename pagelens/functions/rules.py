@@ -230,25 +230,29 @@ def merge_text_with_vector(text: str, vector: str) -> Column:
     )
 
 
-def merge_hover(a: str, b: str) -> Column:
-    """Rule for two rows ``a`` and ``b`` of any kind, chosen by their kinds. Images never merge."""
-    ka, kb = F.col(f"{a}.kind"), F.col(f"{b}.kind")
-    return (
-        F.when((ka == "Image") | (kb == "Image"), False)
-        .when((ka == "Text") & (kb == "Text"), merge_text_blocks(Measured(a), Measured(b)))
-        .when(ka == "Text", merge_text_with_vector(a, b))
-        .when(kb == "Text", merge_text_with_vector(b, a))
-        .otherwise(merge_vectors(a, b))
-    )
-
-
 @dataclass(frozen=True)
 class GroupRule:
-    """A pair rule over the aliases of two measured rows, and its reach from one box."""
+    """A pair rule over the aliases of two measured rows, and its reach from one box.
+
+    With one ``kind`` (or none) the first row is the one with the lower index. With two kinds the first
+    row is of the first kind, whatever the indexes.
+    """
 
     holds: Callable[[str, str], Column]
     reach_x: Callable[[Rect], Column]
     reach_y: Callable[[Rect], Column]
+    kinds: tuple[str, ...] = ()
+
+    def left(self, df: DataFrame) -> DataFrame:
+        return df.filter(F.col("kind") == self.kinds[0]) if self.kinds else df
+
+    def right(self, df: DataFrame) -> DataFrame:
+        return df.filter(F.col("kind") == self.kinds[-1]) if self.kinds else df
+
+    def ordered(self, a: str, b: str) -> Column:
+        if len(self.kinds) == 2:
+            return F.lit(True)
+        return F.col(f"{a}.idx") < F.col(f"{b}.idx")
 
 
 def _of_rects(rule: Callable[[Rect, Rect], Column]) -> Callable[[str, str], Column]:
@@ -267,6 +271,7 @@ TEXT_BLOCKS = GroupRule(
     _of_rects(merge_text_blocks),
     lambda r: F.greatest(F.lit(90.0), _h(r) * 3.1, _w(r) * 0.4),
     lambda r: at_least(20.0, _h(r) * 1.45),
+    ("Text",),
 )
 VECTOR_PRIMITIVES = GroupRule(
     _of_rects(merge_vector_primitive),
@@ -287,6 +292,7 @@ TEXT_VECTOR = GroupRule(
     merge_text_with_vector,
     lambda r: at_least(36.0, _h(r) * 2.0),
     lambda r: at_least(20.0, _h(r) * 1.8),
+    ("Text", "VectorPath"),
 )
 # Both shape classes in one pass; blocks of different classes stay apart.
 VECTOR_BLOCKS = GroupRule(
@@ -294,8 +300,6 @@ VECTOR_BLOCKS = GroupRule(
     lambda r: F.greatest(TEXTLIKE_VECTORS.reach_x(r), GRAPHIC_VECTORS.reach_x(r)),
     lambda r: F.greatest(TEXTLIKE_VECTORS.reach_y(r), GRAPHIC_VECTORS.reach_y(r)),
 )
-HOVER = GroupRule(
-    merge_hover,
-    lambda r: F.greatest(F.lit(120.0), _h(r) * 3.1, _w(r) * 0.9),
-    lambda r: at_least(36.0, _h(r) * 2.0),
-)
+HOVER_VECTORS = GroupRule(merge_vectors, VECTOR_BLOCKS.reach_x, VECTOR_BLOCKS.reach_y, ("VectorPath",))
+# One rule per pair of kinds; images never merge.
+HOVER = (TEXT_BLOCKS, HOVER_VECTORS, TEXT_VECTOR)

@@ -9,6 +9,7 @@ components are found by iteration over checkpointed tables, so no task ever hold
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,10 +89,12 @@ def _grid_sides(df: DataFrame, rule: GroupRule) -> tuple[DataFrame, DataFrame]:
     Small areas meet on fine cells. A large area is spread over few coarse cells instead: tag 1 joins
     large left areas to small right boxes, tag 2 joins any left area to large right boxes.
     """
-    df = measured(df)
+    rows = measured(df)
     box = Rect.of()
     area = box.inflate(rule.reach_x(box), rule.reach_y(box))
-    wide = df.select("*", *[c.alias(f"_{n}") for c, n in zip((area.x0, area.y0, area.x1, area.y1), EDGES)])
+    wide = rule.left(rows).select(
+        "*", *[c.alias(f"_{n}") for c, n in zip((area.x0, area.y0, area.x1, area.y1), EDGES)]
+    )
     area = Rect(*[F.col(f"_{n}") for n in EDGES])
 
     def large(r: Rect) -> Column:
@@ -99,95 +102,118 @@ def _grid_sides(df: DataFrame, rule: GroupRule) -> tuple[DataFrame, DataFrame]:
 
     left_tags = F.when(large(area), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(2)))
     right_tags = F.when(large(box), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return _cells(wide, area, left_tags), _cells(df, box, right_tags)
+    return _cells(wide, area, left_tags), _cells(rule.right(rows), box, right_tags)
 
 
 CELL_KEYS = ["page_id", "tag", "cell_x", "cell_y"]
 
 
-def _near(a: str = "a", b: str = "b") -> Column:
-    """Boxes within reach; true in exactly one of the cells they share (that of the corner of the
-    shared area), so pairs come out once."""
-    def col(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
+def _near(rule: GroupRule) -> Column:
+    """Boxes ``a`` and ``b`` within reach; true in exactly one of the cells they share (that of the
+    corner of the shared area), so pairs come out once."""
+    def a(name: str) -> Column:
+        return F.col(f"a.{name}")
+
+    def b(name: str) -> Column:
+        return F.col(f"b.{name}")
 
-    corner_x = F.greatest(col(a, "_x0"), col(b, "x0"))
-    corner_y = F.greatest(col(a, "_y0"), col(b, "y0"))
     return all_of(
-        col(a, "idx") < col(b, "idx"),
-        col(a, "_x0") <= col(b, "x1"), col(b, "x0") <= col(a, "_x1"),
-        col(a, "_y0") <= col(b, "y1"), col(b, "y0") <= col(a, "_y1"),
-        F.floor(corner_x / col(a, "_size")) == col(a, "cell_x"),
-        F.floor(corner_y / col(a, "_size")) == col(a, "cell_y"),
+        rule.ordered("a", "b"),
+        a("_x0") <= b("x1"), b("x0") <= a("_x1"), a("_y0") <= b("y1"), b("y0") <= a("_y1"),
+        F.floor(F.greatest(a("_x0"), b("x0")) / a("_size")) == a("cell_x"),
+        F.floor(F.greatest(a("_y0"), b("y0")) / a("_size")) == a("cell_y"),
     )
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], extra: Column) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], extra: Column, node: str = "idx") -> DataFrame:
+    """Edges (page_id, a, b) with a < b between rows that agree on the keys."""
     on = all_of(*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    return left.alias("a").join(right.alias("b"), on & extra)
+    ends = F.col(f"a.{node}"), F.col(f"b.{node}")
+    return left.alias("a").join(right.alias("b"), on & extra).select(
+        F.col("a.page_id").alias("page_id"), F.least(*ends).alias("a"), F.greatest(*ends).alias("b")
+    )
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pair_candidates(df: DataFrame, rule: GroupRule) -> DataFrame:
     """Pairs (page_id, a, b) with a < b whose boxes lie within the reach of the rule."""
-    left, right = _grid_sides(df, rule)
-    return _meet(left, right, CELL_KEYS, _near()).select(
-        F.col("a.page_id").alias("page_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b")
-    )
+    return _meet(*_grid_sides(df, rule), CELL_KEYS, _near(rule))
 
 
 def merge_edges(df: DataFrame, rule: GroupRule) -> DataFrame:
     """Pairs for which the rule holds, found on the grid."""
-    left, right = _grid_sides(df, rule)
-    return _meet(left, right, CELL_KEYS, _near() & rule.holds("a", "b")).select(
-        F.col("a.page_id").alias("page_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b")
-    )
+    return _meet(*_grid_sides(df, rule), CELL_KEYS, _near(rule) & rule.holds("a", "b"))
 
 
 def small_page_edges(df: DataFrame, rule: GroupRule) -> DataFrame:
     """The same pairs by a join on the page. Only for pages of a checked size."""
-    on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.idx") < F.col("b.idx"))
     rows = measured(df)
-    return rows.alias("a").join(rows.alias("b"), on & rule.holds("a", "b")).select(
-        F.col("a.page_id").alias("page_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b")
+    return _meet(
+        rule.left(rows), rule.right(rows), ["page_id"], rule.ordered("a", "b") & rule.holds("a", "b")
     )
 
 
 # --- components --------------------------------------------------------------------------------
 
-def _large_page_labels(df: DataFrame, rule: GroupRule, chunk: int = CHUNK) -> DataFrame:
+def _large_page_labels(df: DataFrame, rules: Sequence[GroupRule], chunk: int = CHUNK) -> DataFrame:
     """Component labels without testing all pairs of a crowded cell.
 
     Step 1 splits a crowded cell into chunks of about ``chunk`` boxes and tests pairs inside chunks,
     which joins most boxes of a component. Step 2 tests the pairs step 1 left out, but only between
-    different components, and never inside or between two boxes of the cell's most frequent one.
+    different components, and never between two boxes of the cell's most frequent one.
     Every pair that could still change a component is tested, so the labels are exact.
     """
-    left, right = (checkpointed(side) for side in _grid_sides(df, rule))
-    crowd = left.select(*CELL_KEYS, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(*CELL_KEYS, F.lit(0).alias("l"), F.lit(1).alias("r"))
-    ).groupBy(*CELL_KEYS).agg(
-        F.ceil(F.greatest(F.sum("l"), F.sum("r")) / chunk).alias("chunks")
-    )
-    crowded = checkpointed(crowd.filter("chunks > 1"))
-
-    def chunked(side: DataFrame) -> DataFrame:
-        return side.join(crowded, CELL_KEYS, "left").withColumn(
-            "chunk", F.pmod(F.xxhash64("idx"), F.coalesce("chunks", F.lit(1)))
+    sides = [tuple(checkpointed(side) for side in _grid_sides(df, rule)) for rule in rules]
+    crowds, first = [], []
+    for rule, (left, right) in zip(rules, sides):
+        def count(side: DataFrame, name: str) -> DataFrame:
+            return side.groupBy(*CELL_KEYS).agg(F.count(F.lit(1)).alias(name))
+
+        crowded = checkpointed(
+            count(left, "l").join(count(right, "r"), CELL_KEYS)
+            .filter(F.greatest("l", "r") > chunk)
+            .select(*CELL_KEYS, F.ceil(F.greatest("l", "r") / chunk).alias("chunks"))
         )
-
-    first = checkpointed(
-        _meet(chunked(left), chunked(right), [*CELL_KEYS, "chunk"], _near() & rule.holds("a", "b")).select(
-            F.col("a.page_id").alias("page_id"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b"))
-    )
-    labels = components_of_any_page(first)
-    if crowded.isEmpty():
+        crowds.append(crowded)
+
+        def chunked(side: DataFrame, crowded: DataFrame = crowded) -> DataFrame:
+            return side.join(crowded, CELL_KEYS, "left").withColumn(
+                "chunk", F.pmod(F.xxhash64("idx"), F.coalesce("chunks", F.lit(1)))
+            )
+
+        first.append(_meet(
+            chunked(left), chunked(right), [*CELL_KEYS, "chunk"], _near(rule) & rule.holds("a", "b")
+        ))
+    labels = components_of_any_page(_union(first))
+    second = [
+        _open_edges(rule, left, right, crowded, labels)
+        for rule, (left, right), crowded in zip(rules, sides, crowds)
+        if not crowded.isEmpty()
+    ]
+    if not second:
         return labels
+    roots = components_of_any_page(_union(second)).select(
+        "page_id", F.col("idx").alias("label"), F.col("label").alias("root")
+    )
+    # A node without an edge in step 1 is its own label and may have got one in step 2.
+    nodes = with_labels(df.select("page_id", "idx"), labels)
+    return nodes.join(roots, ["page_id", "label"], "left").select(
+        "page_id", "idx", F.coalesce("root", "label").alias("label")
+    )
+
 
+def _open_edges(
+    rule: GroupRule, left: DataFrame, right: DataFrame, crowded: DataFrame, labels: DataFrame
+) -> DataFrame:
+    """Edges between components (by label) that meet in crowded cells."""
     def in_crowd(side: DataFrame) -> DataFrame:
-        return with_labels(side.join(crowded, CELL_KEYS, "left_semi"), labels)
+        return checkpointed(with_labels(side.join(crowded, CELL_KEYS, "left_semi"), labels))
 
-    left2, right2 = checkpointed(in_crowd(left)), checkpointed(in_crowd(right))
-    hubs = right2.groupBy(*CELL_KEYS, "label").count().groupBy(*CELL_KEYS).agg(
+    left, right = in_crowd(left), in_crowd(right)
+    hubs = right.groupBy(*CELL_KEYS, "label").count().groupBy(*CELL_KEYS).agg(
         F.max_by("label", F.struct("count", "label")).alias("hub")
     )
 
@@ -196,32 +222,20 @@ def _large_page_labels(df: DataFrame, rule: GroupRule, chunk: int = CHUNK) -> Da
 
     in_hub = F.col("label") == F.coalesce(F.col("hub"), F.lit(-1))
     other, hub = F.lit("other"), F.lit("hub")
-    probing = classed(left2, F.when(in_hub, F.array(other)).otherwise(F.array(other, hub)))
-    probed = classed(right2, F.array(F.when(in_hub, hub).otherwise(other)))
-    open_pair = F.col("a.label") != F.col("b.label")
-    second = checkpointed(
-        _meet(probing, probed, [*CELL_KEYS, "class"], open_pair & _near() & rule.holds("a", "b")).select(
-            F.col("a.page_id").alias("page_id"), F.col("a.label").alias("a"), F.col("b.label").alias("b")
-        ).distinct()
-    )
-    if second.isEmpty():
-        return labels
-    roots = components_of_any_page(second).select(
-        "page_id", F.col("idx").alias("label"), F.col("label").alias("root")
-    )
-    joined = labels.select("page_id", "idx", "label").unionByName(
-        # a node that had no edge in step 1 is its own label and may gain one in step 2
-        roots.select("page_id", F.col("label").alias("idx"), "label")
+    probing = classed(left, F.when(in_hub, F.array(other)).otherwise(F.array(other, hub)))
+    probed = classed(right, F.array(F.when(in_hub, hub).otherwise(other)))
+    still_open = F.col("a.label") != F.col("b.label")
+    return _meet(
+        probing, probed, [*CELL_KEYS, "class"], still_open & _near(rule) & rule.holds("a", "b"), "label"
     ).distinct()
-    return joined.join(roots, ["page_id", "label"], "left").select(
-        "page_id", "idx", F.coalesce("root", "label").alias("label")
-    )
 
 
-def group_labels(df: DataFrame, rule: GroupRule, large: bool) -> DataFrame:
-    """Boxes with ``label``, the smallest index of the component the rule puts them in."""
-    labels = _large_page_labels(df, rule) if large else components_of_small_pages(small_page_edges(df, rule))
-    return with_labels(df, labels)
+def group_labels(df: DataFrame, rules: Sequence[GroupRule], large: bool) -> DataFrame:
+    """Boxes with ``label``, the smallest index of the component the rules put them in."""
+    if large:
+        return with_labels(df, _large_page_labels(df, rules))
+    edges = _union([small_page_edges(df, rule) for rule in rules])
+    return with_labels(df, components_of_small_pages(edges))
 
 
 def pages_by_size(df: DataFrame, limit: int = PAGE_LIMIT) -> tuple[DataFrame, DataFrame | None]:
@@ -384,7 +398,7 @@ BOX = ["page_id", "idx", "kind", *EDGES, "content"]
 
 def merge_pass(df: DataFrame, rule: GroupRule, large: bool = False) -> DataFrame:
     """One full pass of a rule: pairs, components, joint bounds. Content is dropped."""
-    merged = merge_group(group_labels(df, rule, large))
+    merged = merge_group(group_labels(df, [rule], large))
     return merged.withColumn("content", F.lit(None).cast("string")).select(*BOX)
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators.skew import dense_position
+from pagelens.session import prepare
 
 
 class Tables:
     """Lazily opened tables and views of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        prepare(spark)
         self.spark = spark
         self.folder = folder
 
