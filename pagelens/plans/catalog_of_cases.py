@@ -6,7 +6,7 @@ import importlib
 
 from pagelens.plans.registry import CASES
 
-MODULES = ["spatial"]
+MODULES = ["spatial", "blocks"]
 
 
 def all_cases():
