@@ -6,7 +6,7 @@ import importlib
 
 from pagelens.plans.registry import CASES
 
-MODULES = ["spatial", "blocks"]
+MODULES = ["spatial", "blocks", "codes", "catalog"]
 
 
 def all_cases():
