@@ -6,7 +6,7 @@ import importlib
 
 from pagelens.plans.registry import CASES
 
-MODULES = ["spatial", "blocks", "codes", "catalog"]
+MODULES = ["spatial", "blocks", "codes", "catalog", "drawing", "raster", "streams"]
 
 
 def all_cases():
