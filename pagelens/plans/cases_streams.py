@@ -58,7 +58,8 @@ def r4(t):
 def _stream(t) -> DataFrame:
     """The log as a file stream over the driver's table."""
     source = t.table("events")
-    events = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    events = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option(
+        "maxFilesPerTrigger", 64).parquet(t.folder)
     return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("item"), F.col("event_type").alias("state"),
         F.get_json_object("props", "$.k").cast("int").alias("generation"))

@@ -70,7 +70,7 @@ class _NewestGeneration(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", T.StructType([T.StructField("generation", T.IntegerType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = self.newest.get()[0] if self.newest.exists() else None
         for batch in _in_order(rows):
             before = batch["generation"].cummax().shift(1)
@@ -92,7 +92,7 @@ class _LastValue(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([T.StructField("state", T.StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.exists()
         last = self.last.get()[0] if known else None
         for batch in _in_order(rows):
@@ -119,11 +119,11 @@ class _StallTimer(StatefulProcessor):
         fields = [T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType())]
         self.running = handle.getValueState("running", T.StructType(fields))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = tuple(self.running.get()) if self.running.exists() else None
         out = []
         limit = pd.Timedelta(seconds=self.seconds)
-        for batch in _in_order(rows):
+        for batch in _in_order(part[part["starts"] | part["ends"]] for part in rows):
             for event_id, ts, starts in zip(batch["event_id"], batch["ts"], batch["starts"]):
                 if held is not None and pd.Timestamp(ts) > pd.Timestamp(held[1]) + limit:
                     out.append((key[0], held[0], held[1]))
@@ -138,7 +138,7 @@ class _StallTimer(StatefulProcessor):
             self.handle.registerTimer(int((pd.Timestamp(held[1]).tz_localize("UTC") + limit).timestamp() * 1000) + 1)
         yield pd.DataFrame(out, columns=["item", "event_id", "ts"])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.running.exists():
             event_id, ts = self.running.get()
             self.running.clear()
@@ -175,7 +175,10 @@ def change_feed_stream(stream: DataFrame) -> DataFrame:
 
 
 def stalled_stream(stream: DataFrame, starts: Column, ends: Column, seconds: int = STALL_SECONDS, lateness: str = "0 seconds") -> DataFrame:
-    """Stream form of ``stalled``: an event-time timer fires when the watermark passes a start's limit."""
-    marked = stream.select("event_id", "ts", "item", starts.alias("starts"), ends.alias("ends")).filter("starts OR ends")
+    """Stream form of ``stalled``: an event-time timer fires when the watermark passes a start's limit.
+
+    Rows that neither start nor end stay in the stream, because they too move the watermark.
+    """
+    marked = stream.select("event_id", "ts", "item", starts.alias("starts"), ends.alias("ends"))
     return _stateful(
         marked.withWatermark("ts", lateness), _StallTimer(seconds), "item long, event_id long, ts timestamp", "EventTime")
