@@ -252,7 +252,7 @@ def rank_pages(windows: DataFrame, layout: DataFrame, preferred: DataFrame) -> D
     order = Window.partitionBy("doc_id", "top").orderBy(
         F.col("liked").desc(), F.col("view_area").desc(), F.col("zone_area").desc(), "away", "page_index"
     )
-    return rows.withColumn("rank", F.row_number().over(order) - 1)
+    return rows.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
 
 
 def reorder_by_rank(queue: DataFrame, rank: DataFrame, current: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def s5(t):
     bodies = ordered_text(placed, ["conv_id"], "turn", F.concat("text", F.lit(" ")), "bodies")
     counts = conv.groupBy("conv_id").agg((F.count(F.lit(1)) + (F.col("conv_id") % 5 == 4).cast("int")).alias("n"))
     packed = heads.join(bodies, "conv_id").join(counts, "conv_id")
-    return cp.unpack_container(packed, ["conv_id"], "n", "head", "bodies")
+    return cp.unpack_container(packed, ["conv_id"], "n", "head", "bodies").withColumn("number", F.col("number").cast("long"))
 
 
 PART_BODY = """concat('<< /Type /XObject ', CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN concat('/Width ', p_size) ELSE concat('/W ', p_size + 100) END,

@@ -36,7 +36,7 @@ def e1(t):
 
 
 @case("E2_pair_codes", with_views("glyph", """
-  SELECT code, count(*) AS n, min(doc_id) AS first_doc, max(pos) AS last_pos FROM (
+  SELECT code, count(*) AS n, min(doc_id) AS first_doc, max(pos)::BIGINT AS last_pos FROM (
     SELECT doc_id, pos // 2 AS pos, sum(CASE WHEN pos % 2 = 0 THEN (code % 256) * 256 ELSE code % 256 END)::BIGINT AS code
     FROM glyph GROUP BY doc_id, pos // 2) WHERE code NOT BETWEEN 55296 AND 57343 GROUP BY code"""))
 def e2(t):
@@ -59,7 +59,7 @@ def e3(t):
 
 
 @case("E4_assign_running_codes", with_views("token", """
-  SELECT doc_id, pos, tok, num + names - names_at - 1 AS code, coalesce(known, CASE WHEN length(g) = 1 THEN g END) AS text
+  SELECT doc_id, pos, tok, (num + names - names_at - 1)::BIGINT AS code, coalesce(known, CASE WHEN length(g) = 1 THEN g END) AS text
   FROM (SELECT *, last_value(num0 IGNORE NULLS) OVER w AS num, last_value(CASE WHEN num0 IS NOT NULL THEN names END IGNORE NULLS) OVER w AS names_at
     FROM (SELECT *, sum(CASE WHEN num0 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS names
       FROM (SELECT *, CASE WHEN regexp_full_match(tok, '[+-]?[0-9]{1,9}') THEN CAST(tok AS BIGINT) END AS num0,

@@ -131,7 +131,7 @@ def _images(t):
 
 
 @case("P9_tile_grid", with_views("page_dim", """
-  SELECT image_id, (ty * nx + tx)::INT AS tile, greatest(0, tx * 256 - 16) AS x0, greatest(0, ty * 200 - 8) AS y0, least(width, (tx + 1) * 256 - 16) AS x1, least(height, (ty + 1) * 200 - 8) AS y1 FROM (
+  SELECT image_id, (ty * nx + tx)::INT AS tile, greatest(0, tx * 256 - 16)::INT AS x0, greatest(0, ty * 200 - 8)::INT AS y0, least(width, (tx + 1) * 256 - 16)::INT AS x1, least(height, (ty + 1) * 200 - 8)::INT AS y1 FROM (
     SELECT *, unnest(range(ny)) AS ty FROM (SELECT *, unnest(range(nx)) AS tx FROM (
       SELECT page_id AS image_id, width_pt::BIGINT AS width, height_pt::BIGINT AS height, ceil((width_pt + 16) / 256)::BIGINT AS nx, ceil((height_pt + 8) / 200)::BIGINT AS ny FROM page_dim)))
   WHERE least(width, (tx + 1) * 256 - 16) > greatest(0, tx * 256 - 16) AND least(height, (ty + 1) * 200 - 8) > greatest(0, ty * 200 - 8)"""))

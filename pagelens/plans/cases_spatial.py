@@ -253,7 +253,7 @@ def h9(t):
 
 @case("H10_reorder_by_rank", with_views("page_dim viewport req", """
   SELECT q.doc_id, q.page_index, q.generation, q.request_id, r.rank
-  FROM (SELECT event_id AS request_id, item AS doc_id, generation % 24 AS page_index, state AS generation FROM req) q
+  FROM (SELECT event_id AS request_id, item AS doc_id, (generation % 24)::BIGINT AS page_index, state AS generation FROM req) q
   JOIN (SELECT item AS doc_id, arg_max(state, event_id) AS generation FROM req GROUP BY item) c
     ON q.doc_id = c.doc_id AND q.generation = c.generation
   JOIN (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, page_index) - 1 AS rank
