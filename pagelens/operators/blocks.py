@@ -148,6 +148,15 @@ def merge_edges(df: DataFrame, rule: GroupRule) -> DataFrame:
     return _meet(*_grid_sides(df, rule), CELL_KEYS, _near(rule) & rule.holds("a", "b"))
 
 
+def hover_edges(df: DataFrame) -> DataFrame:
+    """Pairs of boxes of any kind that belong together, by the rule of their kinds; images never do.
+
+    Every rule reads the boxes on both sides, so they are written once first.
+    """
+    rows = checkpointed(df)
+    return _union([merge_edges(rows, rule) for rule in HOVER])
+
+
 def small_page_edges(df: DataFrame, rule: GroupRule) -> DataFrame:
     """The same pairs by a join on the page. Only for pages of a checked size."""
     rows = measured(df)
@@ -318,7 +327,7 @@ def text_lines(df: DataFrame, keys: Sequence[str] = ("page_id",), large: bool =
         return rows.mapInPandas(_stream_lines(keys), schema)
     rest = [c for c in df.columns if c not in keys and c not in ("y0", "x0", "idx")]
     lists = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("y0", "x0", "idx", *rest))).alias("items")
+        F.sort_array(F.collect_list(F.struct("y0", "x0", "idx", *rest))).alias("items")
     )
     return (
         lists.withColumn("given", F.expr(_LINE_FOLD))
@@ -365,7 +374,7 @@ def line_joined(df: DataFrame, keys: Sequence[str], large: bool = False) -> Data
     return rows.withColumn("piece", piece).groupBy(*line_keys).agg(
         F.min("y0").alias("top"),
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(*order, "piece"))), lambda s: s["piece"]), ""
+            F.transform(F.sort_array(F.collect_list(F.struct(*order, "piece"))), lambda s: s["piece"]), ""
         ).alias("text"),
     )
 
@@ -376,7 +385,7 @@ def merged_content(df: DataFrame, keys: Sequence[str], separator: str, large: bo
     lines = line_joined(text_lines(df.filter(has_text(F.col("content"))), keys, large), keys, large)
     return lines.groupBy(*keys).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("top", "line", "text"))), lambda s: s["text"]),
+            F.transform(F.sort_array(F.collect_list(F.struct("top", "line", "text"))), lambda s: s["text"]),
             separator,
         ).alias("content")
     )

@@ -63,8 +63,9 @@ def walk_tree(edges: DataFrame, roots: DataFrame, attrs: DataFrame | None = None
             F.concat("path", F.array(F.col("ord").cast("long"))).alias("path"), *inherited,
         )
         best = first_by(steps, ["node"], ["path"])
-        seen = _least_paths(layers).select("node", F.col("path").alias("_seen"))
-        better = best.join(seen, "node", "left").filter(F.col("_seen").isNull() | (F.col("path") < F.col("_seen"))).drop("_seen")
+        seen = reduce(DataFrame.unionByName, [v.select("node", "path") for v in layers])
+        as_good = (F.col("s.node") == F.col("n.node")) & (F.col("s.path") <= F.col("n.path"))
+        better = best.alias("n").join(seen.alias("s"), as_good, "left_anti")
         layer = checkpointed(with_own(better))
         layers.append(layer)
     return _least_paths(layers)

@@ -91,18 +91,20 @@ _MULTIPLY = """named_struct(
 _IDENTITY = "named_struct('a', 1D, 'b', 0D, 'c', 0D, 'd', 1D, 'e', 0D, 'f', 0D)"
 
 
-def compose_affine(log: DataFrame, keys: list[str], order: list[str], block: Column, matrix: Column) -> DataFrame:
-    """Product of each key's matrices (struct a..f) in order, each new one put before the current.
+def compose_affine(log: DataFrame, keys: list[str], pos: str, matrix: Column, levels: int = 3) -> DataFrame:
+    """Product of each key's matrices (struct a..f) by position, each new one put before the current.
 
-    The product is associative: blocks are multiplied first, then their products.
+    The product is associative: blocks of positions are multiplied first, then blocks of blocks, so no
+    task folds more than a block of matrices (the last level has one per 4096^2 rows).
     """
-    def product(rows: DataFrame, by: list[str], along: list[str]) -> DataFrame:
-        lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*along, "matrix"))).alias("_ms"))
-        fold = f"aggregate(transform(_ms, s -> s.matrix), {_IDENTITY}, (n, m) -> {_MULTIPLY})"
-        return lists.select(*by, F.expr(fold).alias("matrix"))
-
-    rows = log.select(*keys, *order, block.alias("_blk"), matrix.alias("matrix"))
-    return product(product(rows, [*keys, "_blk"], order), keys, ["_blk"]).select(*keys, "matrix.*")
+    rows = log.select(*keys, F.col(pos).alias("_pos"), matrix.alias("matrix"))
+    fold = f"aggregate(transform(_ms, s -> s.matrix), {_IDENTITY}, (n, m) -> {_MULTIPLY})"
+    for level in range(levels):
+        block = position_block("_pos") if level + 1 < levels else F.lit(0).cast("long")
+        lists = rows.groupBy(*keys, block.alias("_blk")).agg(
+            F.sort_array(F.collect_list(F.struct("_pos", "matrix"))).alias("_ms"))
+        rows = lists.select(*keys, F.col("_blk").alias("_pos"), F.expr(fold).alias("matrix"))
+    return rows.select(*keys, "matrix.*")
 
 
 def path_bounds(ops: DataFrame, keys: list[str], order: list[str], block: Column, paint: Column, pen: float = 1.0) -> DataFrame:

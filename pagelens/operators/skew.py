@@ -130,7 +130,7 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str])
 def ordered_text(df: DataFrame, keys: Sequence[str], pos: str, text: Column, out: str, separator: str = "") -> DataFrame:
     """Concatenate ``text`` per key in the order of an integer position: block by block, then blocks."""
     def joined(order: str, value: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.struct(order, value)))
+        parts = F.sort_array(F.collect_list(F.struct(order, value)))
         return F.array_join(F.transform(parts, lambda s: s[value]), separator)
 
     pieces = df.select(*keys, F.col(pos).alias("_pos"), position_block(pos).alias("_blk"), text.alias("_text"))

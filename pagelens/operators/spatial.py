@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.geom import Rect, all_of, any_of
 from pagelens.functions.rules import has_text, stripped
 from pagelens.operators.skew import first_by, running
+from pagelens.session import checkpointed
 
 CELL = 256.0
 BAND = 4096
@@ -58,9 +59,10 @@ def drop_dominated(candidates: DataFrame, tolerance: float = HOVER_TOLERANCE) ->
     A probe that would lose all its candidates keeps them.
     """
     r, kind, body = Rect.of(), F.col("kind"), F.col("content")
-    rows = candidates.withColumns({
+    # Read by both sides of the comparison and by the verdict per probe: written once.
+    rows = checkpointed(candidates.withColumns({
         "area": _area(r), "worded": has_text(body), "text_len": F.coalesce(F.length(stripped(body)), F.lit(0)),
-    })
+    }))
     tiny_text = all_of(
         kind == "Text", r.w <= 260, r.h <= 90, F.col("worded"), F.col("text_len") <= 8
     )

@@ -183,9 +183,7 @@ def o9(t):
 @case("O10_merge_hover", with_views("box", " UNION ALL ".join([
     _edges_sql(TEXTS, TEXT_TEXT), _edges_sql(VECTORS, VEC_VEC), _edges_sql(MIXED, TEXT_VEC)])))
 def o10(t):
-    box = t.box()
-    edges = [bl.merge_edges(box, rule) for rule in rules.HOVER]
-    return edges[0].unionByName(edges[1]).unionByName(edges[2])
+    return bl.hover_edges(t.box())
 
 
 MARKS_SQL = "regexp_replace({c}, '[^-=+/*()\\[\\]{{}}<>^_|]', '', 'g')"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import strokes as st
 from pagelens.functions.geom import Rect, rect_path_bounds, rotate_bounds, to_screen
 from pagelens.operators import drawing as dr
-from pagelens.operators.skew import time_block
+from pagelens.operators.skew import dense_position, time_block
 from pagelens.plans.fixtures import with_views
 from pagelens.plans.registry import case
 
@@ -120,7 +120,8 @@ def t6(t):
     }
     matrix = F.struct(*[v.cast("double").alias(k) for k, v in values.items()])
     log = t.req().withColumn("ts", F.col("ts").cast("timestamp"))
-    out = dr.compose_affine(log, ["item"], ORDER, time_block("ts"), matrix)
+    placed = dense_position(log, ["item"], ORDER, [time_block("ts")], "pos")
+    out = dr.compose_affine(placed, ["item"], "pos", matrix)
     # adding 0 turns a negative zero into zero
     return out.select("item", *[(F.col(c) + F.lit(0.0)).alias(c) for c in "abcdef"])
 

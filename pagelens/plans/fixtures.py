@@ -23,6 +23,14 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str, *columns: str) -> DataFrame:
+        """Rows to be exploded, spread by their key while they are still whole.
+
+        A few large files would otherwise be exploded by a few tasks, and the many small rows moved
+        afterwards; grouping them by the key needs no further shuffle.
+        """
+        return self.table(name).select(key, *columns).repartition(key)
+
     def box(self) -> DataFrame:
         """Drawn objects with bounds; a page is ten consecutive orders."""
         lines = self.table("lineitem").select(
@@ -131,7 +139,7 @@ class Tables:
 
     def sample(self) -> DataFrame:
         """Raster samples, eight to a row; one image per vector."""
-        return self.table("embeddings").select(
+        return self.spread("embeddings", "vec_id", "embedding").select(
             F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("pos", "v")
         ).select(
             "image_id", F.floor(F.col("pos") / 8).cast("int").alias("y"),
@@ -141,19 +149,19 @@ class Tables:
 
     def token(self) -> DataFrame:
         """Words of each document."""
-        return self.table("documents").select(
+        return self.spread("documents", "doc_id", "text").select(
             "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "tok")
         )
 
     def glyph(self) -> DataFrame:
         """Characters of each document."""
-        return self.table("documents").select(
+        return self.spread("documents", "doc_id", "text").select(
             "doc_id", F.posexplode(F.split("text", "")).alias("pos", "ch")
         ).filter("ch <> ''").select("doc_id", "pos", "ch", F.ascii("ch").alias("code"))
 
     def html_tag(self) -> DataFrame:
         """Ordered open and close tags of each page."""
-        return self.table("pages").select(
+        return self.spread("pages", "page_id", "html").select(
             "page_id",
             F.posexplode(F.regexp_extract_all("html", F.lit("<(/?[a-z0-9]+)"), F.lit(1))).alias("seq", "tag"),
         )
