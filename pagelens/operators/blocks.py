@@ -35,7 +35,7 @@ from pagelens.operators.graph import (
 from pagelens.operators.skew import running
 from pagelens.session import checkpointed
 
-PAGE_LIMIT = 256
+PAGE_LIMIT = 1024
 CELL = 256.0
 COARSE_CELL = CELL * 64
 CHUNK = 256
