@@ -3,7 +3,7 @@
 Boxes are rows (page_id, idx, kind, x0, y0, x1, y1, content). Pages of at most ``PAGE_LIMIT`` boxes take
 the small-page form: the pairs of a page meet in one hash join and its components in one task. Larger
 pages take the large-page form: candidate pairs meet on grid cells, crowded cells are split, and
-components are found by iteration over checkpointed tables, so no task ever holds a whole page.
+components are found by iteration over written tables, so no task ever holds a whole page.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pagelens.operators.graph import (
     with_labels,
 )
 from pagelens.operators.skew import running
-from pagelens.session import checkpointed
+from pagelens.session import checkpointed, written
 
 PAGE_LIMIT = 1024
 CELL = 256.0
@@ -175,13 +175,13 @@ def _large_page_labels(df: DataFrame, rules: Sequence[GroupRule], chunk: int = C
     different components, and never between two boxes of the cell's most frequent one.
     Every pair that could still change a component is tested, so the labels are exact.
     """
-    sides = [tuple(checkpointed(side) for side in _grid_sides(df, rule)) for rule in rules]
+    sides = [tuple(written(side) for side in _grid_sides(df, rule)) for rule in rules]
     crowds, first = [], []
     for rule, (left, right) in zip(rules, sides):
         def count(side: DataFrame, name: str) -> DataFrame:
             return side.groupBy(*CELL_KEYS).agg(F.count(F.lit(1)).alias(name))
 
-        crowded = checkpointed(
+        crowded = written(
             count(left, "l").join(count(right, "r"), CELL_KEYS)
             .filter(F.greatest("l", "r") > chunk)
             .select(*CELL_KEYS, F.ceil(F.greatest("l", "r") / chunk).alias("chunks"))
@@ -219,7 +219,7 @@ def _open_edges(
 ) -> DataFrame:
     """Edges between components (by label) that meet in crowded cells."""
     def in_crowd(side: DataFrame) -> DataFrame:
-        return checkpointed(with_labels(side.join(crowded, CELL_KEYS, "left_semi"), labels))
+        return written(with_labels(side.join(crowded, CELL_KEYS, "left_semi"), labels))
 
     left, right = in_crowd(left), in_crowd(right)
     hubs = right.groupBy(*CELL_KEYS, "label").count().groupBy(*CELL_KEYS).agg(
@@ -421,7 +421,7 @@ def _alone(df: DataFrame, large: bool) -> DataFrame:
 
 def _with_merged_content(members: DataFrame, key: str, separator: str, large: bool) -> DataFrame:
     """Merge members by (page, key); a box alone on its page keeps its content as it is."""
-    flagged = checkpointed(_alone(members, large))
+    flagged = (written if large else checkpointed)(_alone(members, large))
     keys = ["page_id", key]
     texts = merged_content(
         flagged.filter((F.col("kind") == "Text") & ~F.col("_alone")).drop("_alone", "line"), keys, separator, large
@@ -451,9 +451,10 @@ def _page_objects(df: DataFrame, large: bool) -> DataFrame:
     # Each pass reads its input several times (both pair sides, members, texts): written once, read often.
     text, vector, image = split_by_kind(df)
     lines = merge_text_lines(text, large)
-    primitives = checkpointed(merge_pass(vector, VECTOR_PRIMITIVES, large))
+    step = written if large else checkpointed
+    primitives = step(merge_pass(vector, VECTOR_PRIMITIVES, large))
     blocks = merge_pass(primitives, VECTOR_BLOCKS, large)
-    hover = merge_hover_groups(checkpointed(lines.unionByName(blocks)), large)
+    hover = merge_hover_groups(step(lines.unionByName(blocks)), large)
     return hover.unionByName(image)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.session import checkpointed
+from pagelens.session import written
 
 
 def _label_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,14 +68,14 @@ def components_of_any_page(edges: DataFrame) -> DataFrame:
     """The same labels by iterated min-label propagation with pointer jumping.
 
     Each round is a join and a map-side combined minimum; a page may be spread over all tasks. The
-    state is checkpointed each round. Stops when no label changes.
+    state is written each round. Stops when no label changes.
     """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpointed(edges.select("page_id", F.inline(ways)).distinct())
+    both = written(edges.select("page_id", F.inline(ways)).distinct())
     labels = both.groupBy("page_id", F.col("a").alias("idx")).agg(
         F.least(F.col("idx"), F.min("b")).alias("label")
     )
-    labels = checkpointed(labels)
+    labels = written(labels)
     while True:
         seen = labels.select("page_id", F.col("idx").alias("b"), F.col("label").alias("near"))
         lowest = both.join(seen, ["page_id", "b"]).groupBy("page_id", F.col("a").alias("idx")).agg(
@@ -85,7 +85,7 @@ def components_of_any_page(edges: DataFrame) -> DataFrame:
             "page_id", "idx", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         root = hooked.select("page_id", F.col("idx").alias("label"), F.col("label").alias("up"))
-        jumped = checkpointed(
+        jumped = written(
             hooked.join(root, ["page_id", "label"]).select("page_id", "idx", "old", F.col("up").alias("label"))
         )
         labels = jumped.select("page_id", "idx", "label")

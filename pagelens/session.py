@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder and read them back.
+
+    Unlike a checkpoint this carries no plan properties over, which pile up in loops of joins and make
+    planning slower each round.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and continue from there."""
     prepare(df.sparkSession)
