@@ -34,7 +34,8 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-6  # least posterior probability for which a pair stays
 HASHES, BANDS, PER_BAND = 64, 21, 3
 STEP = 16  # MinHash values compared at a time
-BLOCK = 256  # classes in a block
+BLOCK = 256  # members in a block
+SIGNATURE_BLOCK = 1024  # where members carry no more than their MinHash values
 COLUMNS = 4096  # shingles of a verification step
 
 U = np.uint64
@@ -140,12 +141,12 @@ def surviving(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, same
     return i, j
 
 
-def block_pairs(members: DataFrame, group: str, count: str) -> DataFrame:
-    """Every member once for each pair of blocks it belongs to; blocks hold about BLOCK members.
+def block_pairs(members: DataFrame, group: str, count: str, block: int = BLOCK) -> DataFrame:
+    """Every member once for each pair of blocks it belongs to; blocks hold about ``block`` members.
 
     Columns _lo and _hi name the pair of blocks, _side is 0 for members of _lo and 1 for those of _hi.
     """
-    k = F.ceil(F.col(count) / BLOCK).cast("int")
+    k = F.ceil(F.col(count) / block).cast("int")
     own = F.pmod(F.xxhash64("key"), k).cast("int")
     placed = members.select("*", k.alias("_k"), own.alias("_own"))
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_other"))
@@ -215,7 +216,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
                 moved = np.flatnonzero(label != np.arange(len(keys)))
                 yield pd.DataFrame({"a": [keys[m] for m in moved], "b": [keys[label[m]] for m in moved]})
 
-    return components(block_pairs(members, "band", "m").mapInPandas(forest, "a binary, b binary"))
+    return components(block_pairs(members, "band", "m", SIGNATURE_BLOCK).mapInPandas(forest, "a binary, b binary"))
 
 
 def verified(groups: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
