@@ -35,7 +35,7 @@ REACH = 256  # positions among which a trigger has the least hash
 HASHED = 16  # bytes of the rolling hash
 TRIGGER = SPAN - REACH + 1  # bytes from the trigger that every window of a phrase covers
 PIECE = 1 << 22  # window starts handled at a time
-BATCH = 4_000_000  # dictionary bytes sorted at a time
+BATCH = 1_000_000  # dictionary bytes sorted at a time
 
 U = np.uint64
 RUNS = "doc_id long, uid long, start int, size int, anchor long, key long"
@@ -90,28 +90,32 @@ def parse(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "uid", "text").mapInPandas(run, RUNS)
 
 
-def window_places(data: np.ndarray) -> np.ndarray:
-    """For every suffix of the joined dictionary its place in the order by the first 400 bytes.
+def window_places(data: bytes, windows: np.ndarray) -> np.ndarray:
+    """The place of each window (by its start in the joined dictionary) in the order by its 400 bytes.
 
-    Equal places mean equal bytes. Ranks to depth 2, 4, ... 256 are built by doubling, 400 from two of 256.
+    Equal places mean equal bytes. All suffixes are ranked to a depth of 8, 24, 72 and 216 bytes, each from
+    three ranks of the depth before; the windows come from two ranks of 216.
     """
-    rank = data.astype(np.int64)
-    depth = 1
-    while depth < 256:
-        rank = _paired(rank, depth)
-        depth *= 2
-    return _paired(rank, SPAN - 256)
-
-
-def _paired(rank: np.ndarray, step: int) -> np.ndarray:
-    n = len(rank)
-    after = np.zeros(n, np.int64)
-    if n > step:
-        after[: n - step] = rank[step:] + 1
-    pair = rank * (int(after.max()) + 1) + after
+    eight = np.ndarray(len(data), ">u8", buffer=data + bytes(7), strides=(1,)).astype(U)
+    rank = np.unique(eight, return_inverse=True)[1]
+    for depth in (8, 24, 72):
+        rank = np.unique(_shifted(rank, depth, 3), return_inverse=True)[1]
+    pair = rank[windows] * (int(rank.max()) + 1) + rank[windows + SPAN - 216]
     return np.unique(pair, return_inverse=True)[1]
 
 
+def _shifted(rank: np.ndarray, step: int, times: int) -> np.ndarray:
+    """One number for the ranks at a position and at the steps after it, in their order."""
+    code, wide = rank, int(rank.max()) + 1
+    for k in range(1, times):
+        if int(code.max()) >= (1 << 62) // (wide + 1):
+            code = np.unique(code, return_inverse=True)[1]
+        after = np.zeros(len(rank), np.int64)
+        after[: max(0, len(rank) - k * step)] = rank[k * step :] + 1
+        code = code * (wide + 1) + after
+    return code
+
+
 def dictionary_repeats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Window ranges (offsets in the phrase, end exclusive) that other phrases of the batch hold as well."""
     held, size = [], 0
@@ -128,12 +132,11 @@ def dictionary_repeats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def _repeats(group: pd.DataFrame) -> pd.DataFrame:
     group = group.drop_duplicates(["anchor", "key"]).reset_index(drop=True)
     lengths = group["bytes"].map(len).to_numpy()
-    place = window_places(np.frombuffer(b"".join(group["bytes"]), np.uint8))
     n = lengths - SPAN + 1
     first = np.cumsum(lengths) - lengths
     phrase = np.repeat(np.arange(len(group)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = np.unique(place[first[phrase] + offset], return_inverse=True)[1]
+    place = window_places(b"".join(group["bytes"]), first[phrase] + offset)
     again = np.bincount(place)[place] > 1  # one trigger, one offset: never twice in a phrase
     at = np.flatnonzero(again)
     if not len(at):
