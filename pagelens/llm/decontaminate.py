@@ -199,7 +199,7 @@ def search_shard(texts: list[str], windows: Windows):
 
 def merged(a, b) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for start, end in sorted([*a, *b]):
+    for start, end in sorted((int(s[0]), int(s[1])) for s in [*a, *b]):
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:

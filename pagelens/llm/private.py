@@ -60,7 +60,7 @@ def spans_of(text: Column, pattern: str, kind: int = 0) -> Column:
 def valid(span: Column) -> Column:
     """Whether a match of a kind passes its check."""
     digits = F.regexp_replace(span["value"], "[^0-9]", "")
-    parts = F.transform(F.split(span["value"], r"\."), lambda p: F.ltrim(F.lit("0"), p))
+    parts = F.transform(F.split(span["value"], r"\."), lambda p: F.ltrim(p, F.lit("0")))
     small = F.forall(parts, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
     card = F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
     return (
