@@ -32,7 +32,7 @@ from pagelens.operators.graph import (
     components_of_small_pages,
     with_labels,
 )
-from pagelens.operators.skew import running
+from pagelens.operators.skew import join_null_safe, running
 from pagelens.session import checkpointed, written
 
 PAGE_LIMIT = 1024
@@ -209,7 +209,7 @@ def _large_page_labels(df: DataFrame, rules: Sequence[GroupRule], chunk: int = C
     )
     # A node without an edge in step 1 is its own label and may have got one in step 2.
     nodes = with_labels(df.select("page_id", "idx"), labels)
-    return nodes.join(roots, ["page_id", "label"], "left").select(
+    return join_null_safe(nodes, roots, ["page_id", "label"], "left").select(
         "page_id", "idx", F.coalesce("root", "label").alias("label")
     )
 
@@ -415,7 +415,7 @@ def _alone(df: DataFrame, large: bool) -> DataFrame:
     """Rows with ``_alone``: whether the row is the only one of its page."""
     if large:
         counts = df.groupBy("page_id").agg((F.count(F.lit(1)) == 1).alias("_alone"))
-        return df.join(counts, "page_id")
+        return join_null_safe(df, counts, ["page_id"])
     return df.withColumn("_alone", F.count(F.lit(1)).over(Window.partitionBy("page_id")) == 1)
 
 
@@ -428,7 +428,7 @@ def _with_merged_content(members: DataFrame, key: str, separator: str, large: bo
     )
     kept = flagged.groupBy(*keys).agg(F.max(F.when(F.col("_alone"), F.col("content"))).alias("_kept"))
     return (
-        merge_group(flagged, key).join(kept, keys).join(texts, keys, "left")
+        join_null_safe(join_null_safe(merge_group(flagged, key), kept, keys), texts, keys, "left")
         .withColumn("content", F.coalesce("_kept", "content"))
         .select(*BOX)
     )

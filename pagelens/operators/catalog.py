@@ -85,29 +85,35 @@ def with_fallback(main: DataFrame, alternative: DataFrame, key: str) -> DataFram
     return main.unionByName(alternative.join(main.select(key).distinct(), key, "left_anti"))
 
 
-def resolve_in_scope(requests: DataFrame, scopes: DataFrame, resources: DataFrame) -> DataFrame:
-    """Resources by name, from the request's scope outwards.
+def resolve_in_scope(requests: DataFrame, scopes: DataFrame, resources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Resources by name, from the request's scope outwards, and the request ids that no scope answers.
 
     ``requests`` is (request_id, scope, name), ``scopes`` (scope, parent), ``resources`` (scope, name,
     target). In each scope the name itself is tried first, then the name with its leading slash taken
-    off or put on. Requests that miss move on to the parent scope, so every round has fewer rows.
+    off or put on. Requests that miss move on to the parent scope, however many there are, so every round
+    has fewer rows; a request that comes back to a scope it has tried is a miss.
     """
     toggled = F.when(F.col("name").startswith("/"), F.substr("name", F.lit(2))).otherwise(F.concat(F.lit("/"), "name"))
-    parents = scopes.select("scope", "parent")
-    opened = requests.withColumn("depth", F.lit(0))
+    parents = scopes.select("scope", "parent").filter("parent IS NOT NULL")
+    opened = requests.withColumns({"depth": F.lit(0), "_tried": F.array("scope")})
     found = []
-    for _ in range(DEPTH_LIMIT):
+    while True:
         tries = opened.select("request_id", "scope", "depth", F.posexplode(F.array("name", toggled)).alias("rank", "key"))
         hits = tries.join(resources.select("scope", F.col("name").alias("key"), "target"), ["scope", "key"])
         best = checkpointed(first_by(hits.select("request_id", "depth", "rank", "target"), ["request_id"], ["rank"]))
         found.append(best)
         opened = checkpointed(
-            opened.join(best, "request_id", "left_anti").join(parents, "scope").filter("parent IS NOT NULL")
-            .select("request_id", F.col("parent").alias("scope"), "name", (F.col("depth") + 1).alias("depth"))
+            opened.join(best, "request_id", "left_anti").join(parents, "scope")
+            .filter(~F.array_contains("_tried", F.col("parent")))
+            .select(
+                "request_id", F.col("parent").alias("scope"), "name", (F.col("depth") + 1).alias("depth"),
+                F.array_append("_tried", F.col("parent")).alias("_tried"),
+            )
         )
         if opened.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+    answered = reduce(DataFrame.unionByName, found)
+    return answered, requests.select("request_id").distinct().join(answered, "request_id", "left_anti")
 
 
 def merge_maps(primary: DataFrame, secondary: DataFrame, keys: list[str], value: str) -> DataFrame:

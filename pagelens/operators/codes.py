@@ -55,7 +55,7 @@ def assign_running_codes(tokens: DataFrame, keys: list[str]) -> DataFrame:
 
     Names before any number are dropped. A name takes its code even if it maps to no text.
     """
-    number = F.when(F.regexp_like("tok", F.lit(r"^[+-]?\d{1,9}$")), F.col("tok").cast("long"))
+    number = F.when(F.regexp_like("tok", F.lit(r"^[+-]?\d+$")), F.col("tok").try_cast("int").cast("long"))
     block = position_block("pos")
     rows = tokens.withColumn("_number", number)
     counted = running(rows, keys, ["pos"], block, {"_names": ("sum", F.col("_number").isNull().cast("long"))})

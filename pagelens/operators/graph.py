@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.operators.skew import join_null_safe
 from pagelens.session import written
 
 
@@ -96,6 +97,6 @@ def components_of_any_page(edges: DataFrame) -> DataFrame:
 def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Every node with the smallest index of its component; a node without edges is its own."""
     found = labels.select("page_id", "idx", F.col("label").alias("_label"))
-    return nodes.join(found, ["page_id", "idx"], "left").withColumn(
+    return join_null_safe(nodes, found, ["page_id", "idx"], "left").withColumn(
         "label", F.coalesce("_label", "idx")
     ).drop("_label")

@@ -3,7 +3,8 @@
 A plain window over a key puts all rows of the key into one task, which fails when one key holds a
 large share of the table. The helpers here split each key into blocks of a coarse, monotone function
 of the order: rows are sorted only inside a block, one small row per block is carried across blocks.
-The big side is shuffled once, by (key, block); the window and the join back share that partitioning.
+The window and the join back share the partitioning by (key, block). Null keys and null orders are kept,
+as in a window: null keys are one key, nulls come first.
 """
 
 from __future__ import annotations
@@ -26,6 +27,13 @@ def time_block(ts: str, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join by equal names where null meets null, as in a window; the columns of ``on`` come from the left."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [left[c].eqNullSafe(renamed[f"_on_{c}"]) for c in on]
+    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def dense_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,7 +55,7 @@ def dense_position(
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     ranked = rows.withColumn("_rn", F.row_number().over(inside))
     return (
-        ranked.join(starts, [*keys, *names])
+        join_null_safe(ranked, starts, [*keys, *names])
         .withColumn(out, F.col("_start") + F.col("_rn") - 1)
         .drop(*names, "_rn", "_start")
     )
@@ -111,11 +119,8 @@ def running(
                 result = F.least(f"_w_{name}", f"_c_{name}")
         merged.append(result.alias(name))
     carried = rows.groupBy(*keys, "_blk").agg(*totals).select(*keys, "_blk", *carries)
-    return (
-        rows.select(*df.columns, "_blk", *locals_)
-        .join(carried, [*keys, "_blk"])
-        .select(*df.columns, *merged)
-    )
+    inner = rows.select(*df.columns, "_blk", *locals_)
+    return join_null_safe(inner, carried, [*keys, "_blk"]).select(*df.columns, *merged)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -245,7 +245,8 @@ def c9(t):
     held = t.tree_attr()
     media = held.filter("media IS NOT NULL").select(F.col("node").alias("scope"), F.lit("/media").alias("name"), F.col("media").alias("target"))
     res = held.filter("res IS NOT NULL").select(F.col("node").alias("scope"), F.lit("/res").alias("name"), F.col("res").alias("target"))
-    return ct.resolve_in_scope(requests, scopes, media.unionByName(res)).select("request_id", "depth", "target")
+    found, _ = ct.resolve_in_scope(requests, scopes, media.unionByName(res))
+    return found.select("request_id", "depth", "target")
 
 
 @case("C10_merge_maps", with_views("glyph", """

@@ -235,6 +235,6 @@ DUCK_VIEWS = {
 
 def with_views(names: str, body: str, recursive: bool = False, extra: dict[str, str] | None = None) -> str:
     """Prefix a DuckDB query with the named views (space separated) as CTEs."""
-    parts = [f"{n} AS ({DUCK_VIEWS[n]})" for n in names.split()]
+    parts = [f"{n} AS MATERIALIZED ({DUCK_VIEWS[n]})" for n in names.split()]
     parts += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body

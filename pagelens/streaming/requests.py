@@ -73,12 +73,15 @@ class _NewestGeneration(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         newest = self.newest.get()[0] if self.newest.exists() else None
         for batch in _in_order(rows):
-            before = batch["generation"].cummax().shift(1)
+            # nulls raise nothing and, as in the batch form, pass only while no generation is known
+            before = batch["generation"].cummax().ffill().shift(1)
             if newest is not None:
                 before = before.fillna(newest).clip(lower=newest)
             yield batch[before.isna() | (batch["generation"] >= before)]
-            top = int(batch["generation"].max())
-            newest = top if newest is None else max(newest, top)
+            known = batch["generation"].dropna()
+            if len(known):
+                top = int(known.max())
+                newest = top if newest is None else max(newest, top)
         if newest is not None:
             self.newest.update((newest,))
 
@@ -97,10 +100,13 @@ class _LastValue(StatefulProcessor):
         last = self.last.get()[0] if known else None
         for batch in _in_order(rows):
             before = batch["state"].shift(1)
-            changed = batch["state"] != before
-            changed.iloc[0] = not known or batch["state"].iloc[0] != last
+            changed = (batch["state"] != before) & ~(batch["state"].isna() & before.isna())
+            first = batch["state"].iloc[0]
+            same = (pd.isna(first) and pd.isna(last)) or first == last
+            changed.iloc[0] = not (known and same)
             yield batch[changed]
-            known, last = True, batch["state"].iloc[-1]
+            last = batch["state"].iloc[-1]
+            known, last = True, None if pd.isna(last) else last
         if known:
             self.last.update((last,))
 

@@ -279,3 +279,43 @@ def test_objects_are_written_by_kind(spark, tmp_path):
     stream = spark.readStream.schema(back.schema).parquet(str(tmp_path / "out"))
     sinks.write_object_stream(stream, str(tmp_path / "streamed"), str(tmp_path / "state")).awaitTermination()
     assert collected(spark.read.parquet(str(tmp_path / "streamed"))) == collected(box)
+
+
+def test_running_keeps_null_keys_and_null_orders(spark):
+    rows = [(1, 0, 5), (None, 0, 7), (None, 1, 8), (1, None, 2)]
+    df = spark.createDataFrame(rows, "k int, pos int, v int")
+    got = skew.running(df, ["k"], ["pos"], F.floor(F.col("pos") / 4), {"total": ("sum", F.col("v"))}).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(1, None, 2, 2), (1, 0, 5, 7), (None, 0, 7, 7), (None, 1, 8, 15)], key=repr
+    )
+    placed = skew.dense_position(df, ["k"], ["pos"], [F.floor(F.col("pos") / 4)], "at").collect()
+    assert {(r["k"], r["pos"], r["at"]) for r in placed} == {(1, None, 0), (1, 0, 1), (None, 0, 0), (None, 1, 1)}
+
+
+def test_boxes_of_a_null_page_are_kept(spark):
+    rows = [(1, 0, "Image", 0.0, 0.0, 9.0, 9.0, None), (None, 1, "Image", 0.0, 0.0, 9.0, 9.0, None), (2, 0, "Text", 0.0, 0.0, 50.0, 9.0, "a")]
+    df = spark.createDataFrame(rows, "page_id long, idx long, kind string, x0 double, y0 double, x1 double, y1 double, content string")
+    assert blocks.page_objects(df).count() == 3
+
+
+def test_scopes_of_any_depth_and_misses(spark):
+    depth = 70
+    scopes = spark.createDataFrame([(f"s{k}", f"s{k + 1}") for k in range(depth)] + [("a", "b"), ("b", "a")], "scope string, parent string")
+    resources = spark.createDataFrame([(f"s{depth}", "/Font", 5)], "scope string, name string, target int")
+    requests = spark.createDataFrame([(1, "s0", "Font"), (2, "s0", "None"), (3, "a", "Font")], "request_id int, scope string, name string")
+    found, missed = catalog.resolve_in_scope(requests, scopes, resources)
+    assert [(r["request_id"], r["depth"], r["target"]) for r in found.collect()] == [(1, depth, 5)]
+    assert sorted(r["request_id"] for r in missed.collect()) == [2, 3]
+
+
+def test_ten_digit_codes_are_numbers(spark):
+    rows = [(1, 0, "1234567890"), (1, 1, "A"), (1, 2, "B")]
+    got = codes.assign_running_codes(spark.createDataFrame(rows, "k int, pos int, tok string"), ["k"]).collect()
+    assert sorted((r["code"], r["text"]) for r in got) == [(1234567890, "A"), (1234567891, "B")]
+
+
+def test_short_color_space_name_is_not_indexed(spark):
+    from pagelens.functions.attrs import classify_color_space
+
+    df = spark.createDataFrame([("/ColorSpace [/I /DeviceRGB 1 2 0 R]",), ("/ColorSpace [/Indexed /DeviceGray 1 2 0 R]",)], "b string")
+    assert [r[0] for r in df.select(classify_color_space(F.col("b"))["kind"]).collect()] == ["DeviceRGB", "indexed"]
