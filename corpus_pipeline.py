@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelens.llm import decontaminate, jaccard, language, packing, secrets
-from pagelens.llm.common import table
+from pagelens.llm.common import bounded_batches, table
 from pagelens.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None  # no stage but the last filter steps could be put in SQL; tests compare with brute force
@@ -18,11 +18,13 @@ ORACLE_SQL = None  # no stage but the last filter steps could be put in SQL; tes
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no learned language, go."""
+    bounded_batches(spark)
     return language.accepted(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -33,11 +35,13 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by the name of their kind."""
+    bounded_batches(spark)
     return secrets.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -15,7 +15,19 @@ SPACES = "\x20\t\n\x0b\x0c\r"
 CASE_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+ROWS_PER_BATCH = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send at most ROWS_PER_BATCH texts at a time to a Python worker; smaller settings of the session stay."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(option, "10000"))
+    if now <= 0 or now > ROWS_PER_BATCH:
+        spark.conf.set(option, str(ROWS_PER_BATCH))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
