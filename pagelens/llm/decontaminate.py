@@ -220,6 +220,15 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     yield block
 
 
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """Number, item, and whether it is the last one; holds two items at most."""
+    number, held = 0, next(items)
+    for item in items:
+        yield number, held, False
+        number, held = number + 1, item
+    yield number, held, True
+
+
 def shards(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     start = size = 0
     for k, text in enumerate(frame["text"]):
@@ -231,15 +240,19 @@ def shards(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield frame.iloc[start:]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns (text among them) with _n_words, _spans (of words, ends exclusive) and _items."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str], finish=None) -> DataFrame:
+    """The named columns (text among them) with _n_words, _spans (of words, ends exclusive) and _items.
+
+    ``finish`` turns the last step's frames into frames of the named columns, in the same worker.
+    """
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     schema = f"{fields}, _n_words long, _spans array<array<long>>, _items array<string>"
     found = docs.select(*columns)
-    for number, block in enumerate(blocks(benchmark)):
+    for number, block, last in _with_last(blocks(benchmark)):
+        done = finish if last else None
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_CHARS of text
 
-        def search(frames: Iterator[pd.DataFrame], shared=shared, first=number == 0) -> Iterator[pd.DataFrame]:
+        def search(frames: Iterator[pd.DataFrame], shared=shared, first=number == 0, done=done) -> Iterator[pd.DataFrame]:
             windows = Windows(shared.value)
             for frame in frames:
                 for part in shards(frame):
@@ -249,9 +262,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str]
                         spans = [merged(a, b) for a, b in zip(spans, part["_spans"])]
                         items = [sorted({*a, *b}) for a, b in zip(items, part["_items"])]
                     made["_n_words"], made["_spans"], made["_items"] = n_words, [[list(s) for s in x] for x in spans], items
-                    yield made
+                    yield made if done is None else done(made)
 
-        found = found.mapInPandas(search, schema)
+        found = found.mapInPandas(search, schema if done is None else fields)
     return found
 
 
@@ -281,14 +294,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without their benchmark passages; those of which no word is left go. n_chars follows."""
     columns = docs.columns
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            hit = frame["_spans"].map(len) > 0
-            frame["text"] = [without_spans(t, s) if h else t for t, s, h in zip(frame["text"], frame["_spans"], hit)]
-            left = [not h or bool(item_words(t)) for t, h in zip(frame["text"], hit)]
-            if "n_chars" in columns:
-                frame["n_chars"] = [len(t) if h else n for t, n, h in zip(frame["text"], frame["n_chars"].astype(object), hit)]
-            yield frame.loc[left, columns]
-
-    return find_contamination(docs, benchmark, columns).mapInPandas(cut, docs.schema)
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        hit = frame["_spans"].map(len) > 0
+        frame["text"] = [without_spans(t, s) if h else t for t, s, h in zip(frame["text"], frame["_spans"], hit)]
+        left = [not h or bool(item_words(t)) for t, h in zip(frame["text"], hit)]
+        if "n_chars" in columns:
+            frame["n_chars"] = [len(t) if h else n for t, n, h in zip(frame["text"], frame["n_chars"].astype(object), hit)]
+        return frame.loc[left, columns]
 
+    return find_contamination(docs, benchmark, columns, cut)
