@@ -44,32 +44,44 @@ SYMBOLS = {
     "varepsilon": "ε", "vartheta": "ϑ", "varpi": "ϖ", "varsigma": "ς", "varphi": "ϕ",
 }
 
-# Letters that take each accent in a glyph name.
-ACCENTED = {
-    ("acute", "́"): "ACELINORSUYZacelinorsuyz",
-    ("grave", "̀"): "AEIOUaeiou",
-    ("circumflex", "̂"): "AEIOUaeiou",
-    ("tilde", "̃"): "ANOano",
-    ("dieresis", "̈"): "AEIOUYaeiouy",
-    ("ring", "̊"): "AUau",
-    ("cedilla", "̧"): "Cc",
-    ("ogonek", "̨"): "AEae",
-    ("breve", "̆"): "AGag",
-    ("caron", "̌"): "CDELNRSTZcdelnrstz",
-    ("hungarumlaut", "̋"): "Uu",
-    ("commaaccent", "̦"): "STst",
-    ("dotaccent", "̇"): "IZz",
-    ("dot", "̇"): "Zz",
+# Glyph names of accented letters. Each is a letter and the name of its accent.
+ACCENTED = """
+    Aacute Abreve Acircumflex Adieresis Agrave Aogonek Aring Atilde Cacute Ccaron Ccedilla Dcaron
+    Eacute Ecaron Ecircumflex Edieresis Egrave Eogonek Gbreve Iacute Icircumflex Idieresis Idotaccent Igrave
+    Lacute Lcaron Nacute Ncaron Ntilde Oacute Ocircumflex Odieresis Ograve Otilde Racute Rcaron
+    Sacute Scaron Scommaaccent Tcaron Tcommaaccent Uacute Ucircumflex Udieresis Ugrave Uhungarumlaut Uring
+    Yacute Ydieresis Zacute Zcaron Zdot Zdotaccent
+    aacute abreve acircumflex adieresis agrave aogonek aring atilde cacute ccaron ccedilla dcaron
+    eacute ecaron ecircumflex edieresis egrave eogonek gbreve iacute icircumflex idieresis igrave
+    lacute lcaron nacute ncaron ntilde oacute ocircumflex odieresis ograve otilde racute rcaron
+    sacute scaron scommaaccent tcaron tcommaaccent uacute ucircumflex udieresis ugrave uhungarumlaut uring
+    yacute ydieresis zacute zcaron zdot zdotaccent
+""".split()
+
+# Combining characters of the accents.
+ACCENTS = {
+    "acute": "́", "breve": "̆", "caron": "̌", "cedilla": "̧", "circumflex": "̂",
+    "commaaccent": "̦", "dieresis": "̈", "dot": "̇", "dotaccent": "̇", "grave": "̀",
+    "hungarumlaut": "̋", "ogonek": "̨", "ring": "̊", "tilde": "̃",
 }
 
-# Fixed value: Greek letters by name; the capitals have no final sigma.
+# Greek letters by name; the capitals have no final sigma.
 GREEK = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma "
          "tau upsilon phi chi psi omega").split()
-# Fixed value: Russian letters in glyph number order.
+# The Russian alphabet, whose glyph names afii10017 and afii10065 onwards count its letters.
 CYRILLIC = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
-# Size and part suffixes of stretched brackets.
-SIZES = ("big", "Big", "bigg", "Bigg")
-PARTS = {"paren": ("tp", "ex", "bt"), "bracket": ("tp", "ex", "bt"), "brace": ("tp", "mid", "bt", "ex")}
+# Glyph names of stretched signs by the text they stand for.
+STRETCHED = {
+    "(": "parenleftbig parenleftBig parenleftbigg parenleftBigg parenlefttp parenleftex parenleftbt",
+    ")": "parenrightbig parenrightBig parenrightbigg parenrightBigg parenrighttp parenrightex parenrightbt",
+    "[": "bracketleftbig bracketleftBig bracketleftbigg bracketleftBigg bracketlefttp bracketleftex bracketleftbt",
+    "]": "bracketrightbig bracketrightBig bracketrightbigg bracketrightBigg bracketrighttp bracketrightex "
+         "bracketrightbt",
+    "{": "braceleftbig braceleftBig braceleftbigg braceleftBigg bracelefttp braceleftmid braceleftbt braceleftex",
+    "}": "bracerightbig bracerightBig bracerightbigg bracerightBigg bracerighttp bracerightmid bracerightbt "
+         "bracerightex",
+    "√": "radicalbig radicalBig radicalbigg radicalBigg",
+}
 DIGITS = "zero one two three four five six seven eight nine".split()
 
 
@@ -79,18 +91,13 @@ def glyph_names() -> dict[str, str]:
     for first, last in (("A", "Z"), ("a", "z")):
         names.update({chr(c): chr(c) for c in range(ord(first), ord(last) + 1)})
     names.update({name: str(value) for value, name in enumerate(DIGITS)})
-    for (accent, mark), letters in ACCENTED.items():
-        names.update({c + accent: unicodedata.normalize("NFC", c + mark) for c in letters})
+    names.update({name: unicodedata.normalize("NFC", name[0] + ACCENTS[name[1:]]) for name in ACCENTED})
     for name in GREEK:
         # Unicode spells this letter "lamda".
         letter = name.replace("lambda", "lamda").upper()
         names[name] = unicodedata.lookup(f"GREEK SMALL LETTER {letter}")
         names[name.capitalize()] = unicodedata.lookup(f"GREEK CAPITAL LETTER {letter}")
-    for shape, parts in PARTS.items():
-        for side in ("left", "right"):
-            text = SYMBOLS[shape + side]
-            names.update({f"{shape}{side}{tail}": text for tail in (*SIZES, *parts)})
-    names.update({f"radical{size}": "√" for size in SIZES})
+    names.update({name: text for text, stretched in STRETCHED.items() for name in stretched.split()})
     for n, letter in enumerate(CYRILLIC):
         names[f"afii{10017 + n}"] = letter.upper()
         names[f"afii{10065 + n}"] = letter
