@@ -393,12 +393,12 @@ def merged_content(df: DataFrame, keys: Sequence[str], separator: str, large: bo
 
 # --- merging -----------------------------------------------------------------------------------
 
-def merge_group(df: DataFrame, label: str = "label") -> DataFrame:
-    """One row per (page, label): least index, joint bounds, Text if any member is."""
+def merge_group(df: DataFrame, label: str = "label", *more: Column) -> DataFrame:
+    """One row per (page, label): least index, joint bounds, Text if any member is, and more aggregates."""
     return df.groupBy("page_id", label).agg(
         F.min("idx").alias("idx"),
         F.when(F.bool_or(F.col("kind") == "Text"), "Text").otherwise("VectorPath").alias("kind"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *more,
     )
 
 
@@ -406,9 +406,9 @@ BOX = ["page_id", "idx", "kind", *EDGES, "content"]
 
 
 def merge_pass(df: DataFrame, rule: GroupRule, large: bool = False) -> DataFrame:
-    """One full pass of a rule: pairs, components, joint bounds. Content is dropped."""
-    merged = merge_group(group_labels(df, [rule], large))
-    return merged.withColumn("content", F.lit(None).cast("string")).select(*BOX)
+    """One full pass of a rule: pairs, components, joint bounds. Only a box alone on its page keeps its content."""
+    own = F.max(F.when(F.col("_alone"), F.col("content"))).alias("content")
+    return merge_group(_alone(group_labels(df, [rule], large), large), "label", own).select(*BOX)
 
 
 def _alone(df: DataFrame, large: bool) -> DataFrame:
@@ -426,9 +426,9 @@ def _with_merged_content(members: DataFrame, key: str, separator: str, large: bo
     texts = merged_content(
         flagged.filter((F.col("kind") == "Text") & ~F.col("_alone")).drop("_alone", "line"), keys, separator, large
     )
-    kept = flagged.groupBy(*keys).agg(F.max(F.when(F.col("_alone"), F.col("content"))).alias("_kept"))
+    own = F.max(F.when(F.col("_alone"), F.col("content"))).alias("_kept")
     return (
-        join_null_safe(join_null_safe(merge_group(flagged, key), kept, keys), texts, keys, "left")
+        join_null_safe(merge_group(flagged, key, own), texts, keys, "left")
         .withColumn("content", F.coalesce("_kept", "content"))
         .select(*BOX)
     )

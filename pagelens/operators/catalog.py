@@ -12,8 +12,6 @@ from pagelens.functions.geom import Rect, rect_path_bounds
 from pagelens.operators.skew import first_by
 from pagelens.session import checkpointed
 
-DEPTH_LIMIT = 64
-
 
 def latest_definition(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     """The last definition of each key."""
@@ -154,34 +152,41 @@ def multiply(m: list[Column], n: list[Column]) -> list[Column]:
 
 
 def expand_uses(
-    uses: DataFrame, forms: DataFrame, images: DataFrame, start: str, page_h: float, zoom: float, limit: int = DEPTH_LIMIT
-) -> tuple[DataFrame, DataFrame]:
-    """Images drawn through nested forms with their bounds, and uses of unknown names.
-
-    ``uses`` is (owner, name, a..f at the use), ``forms`` (name, a..f), ``images`` (name). A form's
-    matrix is put before the current one; a form wins over an image of the same name; bounds are not
-    clipped. Nesting stops at ``limit``.
+    uses: DataFrame, forms: DataFrame, images: DataFrame, starts: DataFrame, page_h: float, zoom: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images drawn through nested forms with their bounds, uses of unknown names, and uses cut as cycles.
+
+    ``uses`` is (owner, name, a..f at the use), ``forms`` (name, a..f), ``images`` (name), ``starts``
+    (owner), one row for each page; its owner comes back as ``start``. A form's matrix is put before the
+    current one; a form wins over an image of the same name; bounds are not clipped. Forms nest to any
+    depth; a form used inside itself is not entered again but returned with its depth.
     """
     at_use = [F.col(c).alias(f"u_{c}") for c in MATRIX]
     calls = uses.select(F.col("owner"), F.col("name").alias("used"), *at_use)
     shapes = forms.select(F.col("name").alias("used"), *[F.col(c).alias(f"m_{c}") for c in MATRIX])
     pictures = images.select(F.col("name").alias("used")).distinct()
     unit = [F.lit(v).alias(c) for c, v in zip(MATRIX, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))]
-    layer = uses.sparkSession.range(1).select(F.lit(start).alias("owner"), F.lit(0).alias("depth"), *unit)
-    drawn, unknown = [], []
-    for _ in range(limit):
+    layer = starts.select(
+        F.col("owner").alias("start"), "owner", F.lit(0).alias("depth"), F.array("owner").alias("_within"), *unit)
+    drawn, unknown, cycles = [], [], []
+    while True:
         drawing = multiply([F.col(f"u_{c}") for c in MATRIX], [F.col(c) for c in MATRIX])
-        here = layer.join(calls, "owner").select("used", (F.col("depth") + 1).alias("depth"), *[v.alias(c) for v, c in zip(drawing, MATRIX)])
+        here = layer.join(calls, "owner").select(
+            "start", "used", "_within", (F.col("depth") + 1).alias("depth"), *[v.alias(c) for v, c in zip(drawing, MATRIX)])
         here = checkpointed(here.join(shapes, "used", "left"))
-        leaf = here.filter("m_a IS NULL").select("used", "depth", *MATRIX)
+        leaf = here.filter("m_a IS NULL").select("start", "used", "depth", *MATRIX)
         drawn.append(leaf.join(pictures, "used", "left_semi"))
-        unknown.append(leaf.join(pictures, "used", "left_anti").select("used", "depth"))
+        unknown.append(leaf.join(pictures, "used", "left_anti").select("start", "used", "depth"))
+        again = F.array_contains("_within", F.col("used"))
+        entered = here.filter("m_a IS NOT NULL")
+        cycles.append(entered.filter(again).select("start", "used", "depth"))
         inner = multiply([F.col(f"m_{c}") for c in MATRIX], [F.col(c) for c in MATRIX])
-        layer = here.filter("m_a IS NOT NULL").select(
-            F.col("used").alias("owner"), "depth", *[v.alias(c) for v, c in zip(inner, MATRIX)])
+        layer = entered.filter(~again).select(
+            "start", F.col("used").alias("owner"), "depth", F.array_append("_within", F.col("used")).alias("_within"),
+            *[v.alias(c) for v, c in zip(inner, MATRIX)])
         if layer.isEmpty():
             break
     one, zero = F.lit(1.0), F.lit(0.0)
     bounds: Rect = rect_path_bounds(zero, zero, one, one, [F.col(c) for c in MATRIX], F.lit(page_h), F.lit(zoom))
-    leaves = reduce(DataFrame.unionByName, drawn).select(F.col("used").alias("name"), "depth", *bounds.columns())
-    return leaves, reduce(DataFrame.unionByName, unknown)
+    leaves = reduce(DataFrame.unionByName, drawn).select("start", F.col("used").alias("name"), "depth", *bounds.columns())
+    return leaves, reduce(DataFrame.unionByName, unknown), reduce(DataFrame.unionByName, cycles)

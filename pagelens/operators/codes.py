@@ -43,6 +43,11 @@ def expand_ranges(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def beyond_range_cap(df: DataFrame) -> DataFrame:
+    """The part of each range (lo, hi, ...) that ``RANGE_CAP`` leaves out, for quarantine: same columns, lo moved on."""
+    return df.filter(F.col("hi") - F.col("lo") >= RANGE_CAP).withColumn("lo", F.col("lo") + RANGE_CAP)
+
+
 def expand_lists(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, entry, lo, items) to (keys, entry, code, item): one code per list item."""
     return df.select(*keys, "entry", "lo", F.posexplode("items").alias("n", "item")).select(

@@ -304,7 +304,8 @@ def c14(t):
     o = F.col("ord")
     uses = edges.select(F.col("parent").alias("owner"), F.col("child").alias("name"), *matrix(1, 0, 0, 2, o % 7, 1))
     forms = edges.filter(~image).select(F.col("child").alias("name"), *matrix(o % 2 + 1, 0, 0, 1, o % 5, o % 3))
-    drawn, _ = ct.expand_uses(uses, forms, edges.filter(image).select(F.col("child").alias("name")), "ROOT", 800.0, 2.0)
+    pages = t.spark.createDataFrame([("ROOT",)], "owner string")
+    drawn, _, _ = ct.expand_uses(uses, forms, edges.filter(image).select(F.col("child").alias("name")), pages, 800.0, 2.0)
     return drawn.select("name", "depth", "x0", "x1", "y0", "y1")
 
 

@@ -85,7 +85,7 @@ def r2_stream(t):
 
 @case("R3_stalled_stream", with_views("req", STALLED))
 def r3_stream(t):
-    return _run(t, rq.stalled_stream(_stream(t), *_starts_ends())).select("event_id", "item")
+    return _run(t, rq.stalled_stream(_stream(t), *_starts_ends(), lateness="0 seconds")).select("event_id", "item")
 
 
 @case("R4_change_feed_stream", with_views("req", CHANGES))

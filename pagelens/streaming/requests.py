@@ -180,9 +180,11 @@ def change_feed_stream(stream: DataFrame) -> DataFrame:
     return _stateful(stream, _LastValue(), _schema(stream))
 
 
-def stalled_stream(stream: DataFrame, starts: Column, ends: Column, seconds: int = STALL_SECONDS, lateness: str = "0 seconds") -> DataFrame:
+def stalled_stream(stream: DataFrame, starts: Column, ends: Column, lateness: str, seconds: int = STALL_SECONDS) -> DataFrame:
     """Stream form of ``stalled``: an event-time timer fires when the watermark passes a start's limit.
 
+    Spark drops rows more than ``lateness`` behind the newest one and counts them in the query's progress
+    (``numRowsDroppedByWatermark``); choose it as long as the source can be late.
     Rows that neither start nor end stay in the stream, because they too move the watermark.
     """
     marked = stream.select("event_id", "ts", "item", starts.alias("starts"), ends.alias("ends"))

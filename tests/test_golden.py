@@ -6,7 +6,7 @@ import plain_reading as plain
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.functions import names, rules, strokes
+from pagelens.functions import attrs, names, rules, strokes
 from pagelens.functions.attrs import attr_int
 from pagelens.functions.geom import Rect, gap, gap_is_zero, gap_within, rotate_bounds
 from pagelens.operators import blocks, catalog, codes, drawing, graph, raster, skew, spatial
@@ -319,3 +319,48 @@ def test_short_color_space_name_is_not_indexed(spark):
 
     df = spark.createDataFrame([("/ColorSpace [/I /DeviceRGB 1 2 0 R]",), ("/ColorSpace [/Indexed /DeviceGray 1 2 0 R]",)], "b string")
     assert [r[0] for r in df.select(classify_color_space(F.col("b"))["kind"]).collect()] == ["DeviceRGB", "indexed"]
+
+
+IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def test_forms_nest_deeply_from_many_pages_and_cycles_are_reported(spark):
+    names = ["owner string", "name string", *[f"{c} double" for c in catalog.MATRIX]]
+    chain = [(f"F{n}", f"F{n + 1}") for n in range(70)] + [("F70", "I"), ("P1", "F0"), ("P2", "L"), ("L", "I"), ("L", "L"), ("P2", "?")]
+    uses = spark.createDataFrame([(*pair, *IDENTITY) for pair in chain], ", ".join(names))
+    forms = spark.createDataFrame([(name, *IDENTITY) for name in ["L", *[f"F{n}" for n in range(71)]]], ", ".join(names[1:]))
+    images = spark.createDataFrame([("I",)], "name string")
+    starts = spark.createDataFrame([("P1",), ("P2",)], "owner string")
+    drawn, unknown, cycles = catalog.expand_uses(uses, forms, images, starts, 800.0, 1.0)
+    assert sorted(drawn.select("start", "name", "depth").collect()) == [("P1", "I", 72), ("P2", "I", 2)]
+    assert sorted(map(tuple, unknown.collect())) == [("P2", "?", 1)]
+    assert sorted(map(tuple, cycles.collect())) == [("P2", "L", 2)]
+
+
+def test_codes_beyond_the_range_cap_are_returned(spark):
+    df = spark.createDataFrame([("f", 0, 10, 70000, 5), ("f", 1, 0, 65535, 5)], "font string, entry int, lo long, hi long, dst int")
+    assert [(r["entry"], r["lo"], r["hi"]) for r in codes.beyond_range_cap(df).collect()] == [(0, 65546, 70000)]
+
+
+def test_color_space_forms(spark):
+    bodies = {
+        "/ColorSpace /DeviceCMYK": ("DeviceCMYK", None), "/ColorSpace\n[ /CalGray << >> ]": ("DeviceGray", None),
+        "/ColorSpace [/ICCBased 7 0 R]": ("icc", "7"), "/ColorSpace [/ICCBased 7 0 R 1]": ("DeviceRGB", None),
+        "/ColorSpace [/Indexed /DeviceGray 255 9 0 R]": ("indexed", "DeviceGray"), "/ColorSpace [/I /DeviceGray 1 (a)]": ("DeviceRGB", None),
+        "/ColorSpace 12 0 R": ("indirect", "12"), "/ColorSpace /Cs1": ("named", "/Cs1"), "/Width 3": ("DeviceRGB", None),
+        "/ColorSpace /Cs1 /X << /ColorSpace /DeviceGray >>": ("DeviceGray", None),
+    }
+    definitions = {
+        " /DeviceGray": ("DeviceGray", None), "[ /Pattern /DeviceRGB ]": ("pattern", None), "[/Indexed [/ICCBased 5 0 R] 1 (a)]": ("icc", "5"),
+        "[ /Lab << >> ]": ("DeviceRGB", None), "/Cs1": None,
+    }
+    for rule, want in ((attrs.classify_color_space, bodies), (attrs.classify_definition, definitions)):
+        df = spark.createDataFrame([(text,) for text in want], "body string")
+        got = df.select("body", rule(F.col("body")).alias("s")).collect()
+        assert {r["body"]: None if r["s"] is None else tuple(r["s"]) for r in got} == want
+
+
+def test_a_vector_alone_on_its_page_keeps_its_content(spark):
+    rows = [(1, 0, "VectorPath", 0.0, 0.0, 9.0, 9.0, "kept"), (2, 0, "VectorPath", 0.0, 0.0, 9.0, 9.0, "a"), (2, 1, "VectorPath", 2.0, 2.0, 9.0, 9.0, "b")]
+    got = collected(blocks.merge_pass(spark.createDataFrame(rows, BOX_SCHEMA), rules.VECTOR_PRIMITIVES))
+    assert [(r[0], r[-1]) for r in got] == [(1, "kept"), (2, "")]
