@@ -25,6 +25,7 @@ from pagelens.functions.geom import (
     overlap,
 )
 
+# All numbers in the classifiers and merge rules below.
 # Fixed value: characters that mark a formula.
 FORMULA_MARKERS = "=+-/*()[]{}<>^_|Δ∑Σ√∫≈≤≥·×÷ρβθαπµΩ∂ƒ∇∝∞≠±∈∉∪∩"
 # Fixed value: a first character that is joined without a blank (any punctuation or one of these).

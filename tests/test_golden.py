@@ -27,10 +27,18 @@ def read_plainly(rows):
     return pages
 
 
-def plain_objects(rows):
+STEPS = {"primitives": [rules.VECTOR_PRIMITIVES], "blocks": [rules.VECTOR_BLOCKS], "hover": rules.HOVER}
+
+
+def plain_objects(spark, rows):
+    def joined(pages, step):
+        boxes = [(page, b.idx, b.kind, b.x0, b.y0, b.x1, b.y1, b.content) for page, held in pages.items() for b in held]
+        df = spark.createDataFrame(boxes, BOX_SCHEMA)
+        return [tuple(r) for rule in STEPS[step] for r in blocks.small_page_edges(df, rule).collect()]
+
     return sorted(
         (page, b.idx, b.kind, b.x0, b.y0, b.x1, b.y1, b.content or "")
-        for page, boxes in read_plainly(rows).items() for b in plain.page_objects(boxes)
+        for page, boxes in plain.page_objects(read_plainly(rows), joined).items() for b in boxes
     )
 
 
@@ -55,7 +63,7 @@ def dense_page(count, seed=7):
 def test_page_objects_match_plain_reading(spark, tables):
     rows = [r for r in boxes_of(tables) if r[0] < 60]
     got = blocks.page_objects(spark.createDataFrame(rows, BOX_SCHEMA))
-    assert collected(got) == plain_objects(rows)
+    assert collected(got) == plain_objects(spark, rows)
 
 
 def test_odd_pages(spark):
