@@ -1,10 +1,14 @@
 """Removal of personal data, with terms that reveal it, in built-in expressions only.
 
-Patterns find protected entities. Words near them are terms; how much a term reveals an entity is
-estimated over the whole corpus: with p(e|t) the share of the documents holding term t in which entity e
-stands near it, and p(e) the share of all documents near e, the disclosure is log2(p(e|t) / p(e)) bits. A
-term is masked near its entity when it stands near it in enough different contexts, reveals it in enough
-of its documents, and by enough bits. Copies of one context count once.
+Patterns find protected entities; the words outside of entities are terms. How much a term reveals an entity is
+estimated over the whole corpus, in whole documents and at any distance: with n(t) the texts that hold term t,
+n(te) those that also hold entity e, and p(e) the share of all texts with e, the smoothed estimate is
+p(e|t) = (n(te) + WEIGHT * p(e)) / (n(t) + WEIGHT), and the disclosure is log2(p(e|t) / p(e)) bits. A term is telling
+when p(e|t) and the disclosure are large enough for some entity. Copies of one text count once; one text alone
+is no evidence, since each of its rare words would then reveal its entities.
+
+A telling term is masked wherever it stands in a document that holds the entity, and with ``everywhere`` in
+any document, which is what the query does.
 
 A null text is empty. Repeated rows give repeated results. An empty table gives an empty result.
 """
@@ -28,17 +32,16 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 TERM = r"[\p{L}\p{N}_]{2,}+"
-RADIUS = 100  # code points on each side of an entity
-NEAR = 6  # words on each side
-MIN_CONTEXTS = 3
+WEIGHT = 2.0  # texts that the prior p(e) counts as
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
-def spans_of(text: Column, pattern: str, kind: int = 0) -> Column:
+def spans_of(text: Column, pattern: str | Column, kind: int = 0) -> Column:
     """Leftmost non-overlapping matches with their positions in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
 
     def step(done: Column, part: Column) -> Column:
@@ -76,77 +79,71 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.filter(F.concat(*found), valid))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """For every entity the words near it, with their positions in the text."""
-    def around(span: Column) -> Column:
-        left = F.greatest(F.lit(0), span["start"] - RADIUS)
-        before = F.substring(text, left + 1, span["start"] - left)
-        after = F.substring(text, span["stop"] + 1, F.lit(RADIUS))
-        # a word cut by the radius is left out
-        ahead = F.filter(spans_of(before, TERM), lambda w: (left == 0) | (w["start"] > 0))
-        behind = F.filter(
-            spans_of(after, TERM), lambda w: (w["stop"] < RADIUS) | (span["stop"] + RADIUS >= F.length(text))
-        )
-        size = F.size(ahead)
-        first = F.greatest(F.lit(1), size - NEAR + 1)
-        ahead = F.slice(ahead, first, F.lit(NEAR))
-        behind = F.slice(behind, 1, NEAR)
+def cleared(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans; positions stay the same."""
+    def step(done: Column, span: Column) -> Column:
+        start = F.greatest(done["at"], span["start"])
+        stop = F.greatest(done["at"], span["stop"])
+        gap = F.substring(text, done["at"] + 1, start - done["at"])
+        return F.struct(stop.alias("at"), F.concat(done["out"], gap, F.repeat(F.lit(" "), stop - start)).alias("out"))
 
-        def moved(words: Column, by: Column) -> Column:
-            return F.transform(words, lambda w: F.struct(
-                (w["start"] + by).alias("start"), (w["stop"] + by).alias("stop"), F.lower(w["value"]).alias("term")
-            ))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = F.aggregate(spans, first, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(rest)
 
-        return F.struct(
-            F.lower(span["value"]).alias("entity"), F.xxhash64(before, after).alias("context"),
-            F.concat(moved(ahead, left), moved(behind, span["stop"])).alias("terms"),
-        )
 
-    return F.transform(spans, around)
+def entities_of(base: str) -> Column:
+    return F.array_distinct(F.transform(base, lambda b: F.lower(b["value"])))
 
 
-def find_private(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the sorted spans of entities and of revealing terms of every document."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.select("doc_id", F.xxhash64("text").alias("_key"), "text", base_spans(F.col("text")).alias("base"))
-    found = written(
-        found.select("doc_id", "_key", "base", F.when(F.size("base") > 0, near_terms(F.col("text"), F.col("base"))).alias("near"))
-    )
-    near = found.filter(F.size("base") > 0).select("doc_id", "_key", "base", F.explode("near").alias("n"))
-    words = near.select("doc_id", "_key", "base", "n.entity", "n.context", F.explode("n.terms").alias("w")).filter(
-        ~F.exists("base", lambda b: (b["start"] < F.col("w.stop")) & (F.col("w.start") < b["stop"]))
-    )
-    words = written(words.select("doc_id", "_key", "entity", "context", "w.term", "w.start", "w.stop"))
-    # copies of a context and rows of a document collapse before anything is counted
-    pairs = (
-        words.groupBy("term", "entity", "context").agg(F.lit(1).alias("_one"))
-        .groupBy("term", "entity").agg(F.count("context").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
-    )
-    pair_docs = (
-        words.groupBy("term", "entity", "doc_id", "_key").agg(F.lit(1).alias("_one"))
-        .groupBy("term", "entity").agg(F.count("_key").alias("pair_docs"))
-    )
-    entity_docs = (
-        words.groupBy("entity", "doc_id", "_key").agg(F.lit(1).alias("_one"))
-        .groupBy("entity").agg(F.count("_key").alias("entity_docs"))
-    )
-    corpus = (
-        texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        .groupBy("term").agg(F.count("term").alias("term_docs"))
-    )
-    total = texts.agg(F.count(F.lit(1)).alias("docs"))
-    measured = written(pairs).join(pair_docs, ["term", "entity"]).join(entity_docs, "entity").join(corpus, "term")
-    share = F.col("pair_docs") / F.col("term_docs")
-    bits = F.log2(share * total.scalar() / F.col("entity_docs"))
-    telling = measured.filter((share >= MIN_SHARE) & (bits >= MIN_BITS)).select("term", "entity")
-    masked = (
-        words.join(telling, ["term", "entity"], "left_semi")
-        .groupBy("doc_id", "_key")
-        .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "stop", F.lit("").alias("value"))).alias("terms"))
-        .withColumnsRenamed({"doc_id": "_id", "_key": "_hash"})
+def telling_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, entity) of all terms that reveal an entity, and the rows (doc_id, _key, base, word, term) of such terms.
+
+    Counts are over distinct texts. Terms are counted among the texts with an entity first; that is at most their
+    number of texts, so only terms that pass by it need to be counted in the others.
+    """
+    total = found.agg(F.count_distinct("_key").alias("n")).scalar()
+    holding = written(
+        found.filter(F.size("base") > 0).groupBy("_key").agg(F.first("words").alias("words"), F.first("base").alias("base"))
+        .select(F.array_distinct(F.transform("words", F.lower)).alias("terms"), entities_of("base").alias("entities"))
     )
-    joined = found.join(masked, (found["_key"] == masked["_hash"]) & found["doc_id"].eqNullSafe(masked["_id"]), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce(F.col("terms").cast(SPAN), F.array().cast(SPAN))))
+    prior = F.col("n_entity") / total
+    share = (F.col("n_both") + WEIGHT * prior) / (F.col("n_term") + WEIGHT)
+    enough = (share >= MIN_SHARE) & (F.log2(share / prior) >= MIN_BITS)
+    # in one text, or in more than 2 ** -MIN_BITS of all, an entity has no term that reaches both limits
+    entity = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("entity").alias("n_entity"))
+    entity = written(entity.filter((F.col("n_entity") >= 2) & (prior <= 2.0**-MIN_BITS)))
+    both = holding.select("terms", F.explode("entities").alias("entity")).join(entity, "entity", "left_semi")
+    both = both.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("term").alias("n_both"))
+    least = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("term").alias("n_term"))
+    some = written(both.filter("n_both >= 2").join(entity, "entity").join(least, "term").filter(enough).drop("n_term"))
+    rows = found.select("doc_id", "_key", "base", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+    rows = written(rows.join(written(some.select("term").distinct()), "term", "left_semi"))
+    texts = rows.select("term", "_key").distinct().groupBy("term").agg(F.count("_key").alias("n_term"))
+    return some.join(texts, "term").filter(enough).select("term", "entity"), rows
+
+
+def find_private(docs: DataFrame, everywhere: bool = False) -> DataFrame:
+    """doc_id, text hash, and the sorted spans of entities and of telling terms of every document."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("_key"), "text")
+    words = F.array_distinct(F.regexp_extract_all(cleared(F.col("text"), F.col("base")), F.lit(TERM), F.lit(0)))
+    found = written(texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", "_key", "base", words.alias("words")))
+    telling, rows = telling_terms(found)
+    if everywhere:
+        hits = rows.join(telling.select("term").distinct(), "term", "left_semi")
+    else:
+        hits = rows.withColumn("entity", F.explode(entities_of("base"))).join(telling, ["term", "entity"], "left_semi")
+    hits = written(hits.groupBy("doc_id", "_key").agg(F.first("base").alias("base"), F.collect_set("word").alias("hit")))
+    hits = hits.withColumnsRenamed({"doc_id": "_id", "_key": "_hash"})
+    # terms hold letters, digits and underscores only, so they can stand in a pattern as they are
+    whole_words = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join("hit", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    held = (texts["_key"] == hits["_hash"]) & texts["doc_id"].eqNullSafe(hits["_id"])
+    marked = texts.join(hits, held).select("_id", "_hash", cleared(F.col("text"), F.col("base")).alias("text"), whole_words.alias("pattern"))
+    marked = marked.groupBy("_id", "_hash").agg(F.first("text").alias("text"), F.first("pattern").alias("pattern"))
+    marked = marked.select("_id", "_hash", spans_of(F.col("text"), F.col("pattern"), KINDS.index("term")).alias("terms"))
+    joined = found.join(marked, (found["_key"] == marked["_hash"]) & found["doc_id"].eqNullSafe(marked["_id"]), "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))
     return joined.select("doc_id", "_key", "base", spans.alias("spans"))
 
 
@@ -177,9 +174,9 @@ def sanitised(text: Column, spans: Column) -> Column:
     )
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """doc_id, the sanitised text and its spans for every row. Rows of one doc_id and text share their spans."""
-    found = find_private(docs).groupBy("doc_id", "_key").agg(F.first("spans").alias("spans"))
+    found = find_private(docs, everywhere).groupBy("doc_id", "_key").agg(F.first("spans").alias("spans"))
     found = found.withColumnsRenamed({"doc_id": "_id", "_key": "_hash"})
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     same = (F.xxhash64(texts["text"]) == found["_hash"]) & texts["doc_id"].eqNullSafe(found["_id"])
@@ -189,7 +186,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    found = find_private(table(spark, folder, "documents"))
+    found = find_private(table(spark, folder, "documents"), everywhere=True)
     counts = [
         F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
         for k, kind in enumerate(PATTERNS)

@@ -163,6 +163,19 @@ def test_revealing_terms(make):
     assert got[len(texts) - 1]["text"] == got[0]["text"]
 
 
+def test_revealing_terms_in_whole_documents(make):
+    far = " ".join(["the"] * 40)  # more than 100 code points
+    texts = [f"Quentinson writes {far} bob@x.org", f"x{far} bob@x.org and then Quentinson", "Quentinson alone", "the alone and then writes"]
+    texts += [f"bob@x.org the {far} alone QUENTINSON."]
+    texts += [f"the number{i} and then writes alone" for i in range(100)]
+    near = {r["doc_id"]: r["text"] for r in private.sanitise(make(texts)).collect()}
+    assert near[0] == f"<term> writes {far} <email>" and near[1].endswith("<email> and then <term>")
+    assert near[2] == texts[2] and near[4] == f"<email> the {far} alone <term>."
+    got = {r["doc_id"]: r["text"] for r in private.sanitise(make(texts), everywhere=True).collect()}
+    assert [got[k] for k in (0, 1, 4)] == [near[k] for k in (0, 1, 4)] and got[2] == "<term> alone"
+    assert all(got[k] == texts[k] for k in range(3, len(texts)) if k != 4)
+
+
 def test_private_plan_has_no_python(sample):
     plan = private.find_private(sample)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
