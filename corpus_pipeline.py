@@ -17,7 +17,7 @@ ORACLE_SQL = None  # no stage but the last filter steps could be put in SQL; tes
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no learned language, go."""
+    """Documents without a letter go, and all if no language is learned; any other text gets its likeliest language."""
     bounded_batches(spark)
     return language.accepted(docs)
 

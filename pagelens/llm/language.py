@@ -89,7 +89,7 @@ def mixture(found: np.ndarray, logs: np.ndarray, rounds: int = 12) -> tuple[list
     share, best = np.ones(1), float(single[chosen[0]])
     penalty = 0.5 * np.log(total)
     left = [int(k) for k in np.argsort(-single, kind="stable") if k != chosen[0]]
-    for _ in range(min(3, len(left))):
+    while left:
         # the language whose addition at a tenth gains most is tried
         now = chance[:, chosen] @ share
         gains = [float(n @ np.log(0.9 * now + 0.1 * chance[:, k])) for k in left]

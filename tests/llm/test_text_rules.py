@@ -214,6 +214,17 @@ def test_language_edges(make):
     assert language.accepted(make([])).count() == 0
 
 
+def test_language_of_a_text_in_six_languages(make):
+    # each language has letters of its own
+    texts = [" ".join(chr(97 + 4 * k + (i * 7 + j * j) % 4) * 2 + chr(97 + 4 * k + (i + j) % 4) for i in range(9) for j in range(9)) for k in range(6)]
+    names = [f"l{k}" for k in range(6)]
+    docs = make(texts * 6 + [" ".join(texts)], langs=names * 6 + [None])
+    found = {r["doc_id"]: r for r in language.identify(docs, language.train(docs), ["doc_id"]).collect()}
+    assert [found[k]["_langs"] for k in range(6)] == names
+    assert set(found[36]["_langs"].split(",")) == set(names)
+    assert found[36]["_score"] < 0.25
+
+
 # -- packing
 
 def test_ids_equal_the_tokenizers_file(sample):
