@@ -1,4 +1,7 @@
-"""Queries of the training-data operators, by name. None has a SQL form; tests hold them against brute force."""
+"""Queries of the training-data operators, by name, and the SQL of those that SQL can express.
+
+Tests hold the others against brute force.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pagelens.llm import (
     jaccard,
     language,
     packing,
+    phrases,
     private,
     quality,
     quotes,
@@ -26,4 +30,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_jaccard_join": jaccard.query,
     "op10_language_id": language.query,
+    "op11_phrases": phrases.query,
 }
+
+ORACLES = {"op11_phrases": phrases.ORACLE}
