@@ -17,6 +17,7 @@ from pagelens.llm import (
     repeats,
     scoring,
     secrets,
+    whitening,
 )
 
 QUERIES = {
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.query,
     "op10_language_id": language.query,
     "op11_phrases": phrases.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLES = {"op11_phrases": phrases.ORACLE}
