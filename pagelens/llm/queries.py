@@ -18,6 +18,7 @@ from pagelens.llm import (
     scoring,
     secrets,
     whitening,
+    winnowing,
 )
 
 QUERIES = {
@@ -32,7 +33,8 @@ QUERIES = {
     "op9_jaccard_join": jaccard.query,
     "op10_language_id": language.query,
     "op11_phrases": phrases.query,
+    "op12_fingerprints": winnowing.query,
     "op13_whitening": whitening.query,
 }
 
-ORACLES = {"op11_phrases": phrases.ORACLE}
+ORACLES = {"op11_phrases": phrases.ORACLE, "op12_fingerprints": winnowing.ORACLE}

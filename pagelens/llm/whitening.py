@@ -79,7 +79,7 @@ def products(vectors: DataFrame, name: str, values: Callable[[np.ndarray], np.nd
 
     found = vectors.mapInArrow(multiply, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((width + 1, width))
-    for row in found.toLocalIterator():  # (width + 1) * width rows
+    for row in found.collect():  # (width + 1) * width rows
         out[row["i"], row["j"]] = row["v"]
     return out
 
