@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.operators.skew import position_block, running
+from pagelens.operators.skew import before_now, blockwise, position_block, running, until_now
 
 # Fixed value: the operator names of page content.
 OPERATORS = (
@@ -32,30 +32,69 @@ def line_origins(ops: DataFrame, keys: list[str], order: list[str], block: Colum
     sets it to ty; T*, ' and " move down by the leading.
     """
     op = F.col("op")
-    lead = F.when(op == "TD", -F.col("ty")).when(op == "TL", F.col("ty"))
-    led = running(ops, keys, order, block, {"_lead": ("last", lead)})
     moves, next_line = op.isin("Td", "TD"), op.isin("T*", "'", '"')
-    dx = F.when(moves, F.col("tx")).otherwise(0.0)
-    dy = F.when(moves, F.col("ty")).when(next_line, -F.coalesce("_lead", F.lit(0.0))).otherwise(0.0)
-    moved = running(led, keys, order, block, {"_sx": ("sum", dx), "_sy": ("sum", dy)})
-    placed = F.when(op == "Tm", F.col("tx")).when(op == "BT", 0.0), F.when(op == "Tm", F.col("ty")).when(op == "BT", 0.0)
-    base = F.when(placed[0].isNotNull(), F.struct((placed[0] - F.col("_sx")).alias("x"), (placed[1] - F.col("_sy")).alias("y")))
-    based = running(moved, keys, order, block, {"_base": ("last", base)})
-    return based.select(
-        *ops.columns,
-        (F.col("_sx") + F.coalesce("_base.x", F.lit(0.0))).alias("x"), (F.col("_sy") + F.coalesce("_base.y", F.lit(0.0))).alias("y"),
-    )
+    lead = F.when(op == "TD", -F.col("ty")).when(op == "TL", F.col("ty"))
+    # Positions inside a block are a known part, and as many leadings of earlier blocks as lines came before the first
+    # leading of the block.
+    own = F.col("_lead").isNotNull()
+    down = F.when(moves, F.col("ty")).when(next_line & own, -F.col("_lead")).otherwise(0.0)
+    spot = F.when(op == "Tm", F.struct(F.col("tx").alias("x"), F.col("ty").alias("y"))).when(
+        op == "BT", F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    moved = F.struct((spot["x"] - F.col("_dx")).alias("x"), (spot["y"] - F.col("_dy")).alias("y"), (-F.col("_owed")).alias("owed"))
+    here = F.struct(*order)
+
+    def now(name: str) -> Column:
+        return F.max_by(name, here)
+
+    owed_lead = F.coalesce("_lead_in", F.lit(0.0))
+    local = {
+        "_lead": lambda w: F.last(lead, ignorenulls=True).over(until_now(w)),
+        "_dx": lambda w: F.sum(F.when(moves, F.col("tx")).otherwise(0.0)).over(until_now(w)),
+        "_dy": lambda w: F.sum(down).over(until_now(w)),
+        "_owed": lambda w: F.sum(F.when(next_line & ~own, 1.0).otherwise(0.0)).over(until_now(w)),
+        "_base": lambda w: F.last(F.when(spot.isNotNull(), moved), ignorenulls=True).over(until_now(w)),
+    }
+    totals = {"_lead_t": now("_lead"), "_dx_t": now("_dx"), "_dy_t": now("_dy"), "_owed_t": now("_owed"), "_base_t": now("_base")}
+    based = F.when(F.col("_base_t").isNotNull(), F.struct(
+        (F.col("_base_t.x") - F.coalesce("_dx_in", F.lit(0.0))).alias("x"),
+        (F.col("_base_t.y") - F.col("_base_t.owed") * owed_lead - F.coalesce("_dy_in", F.lit(0.0))).alias("y")))
+    carry = [
+        ("_lead_in", lambda w: F.last("_lead_t", ignorenulls=True).over(before_now(w))),
+        ("_dx_in", lambda w: F.sum("_dx_t").over(before_now(w))),
+        ("_dy_in", lambda w: F.sum(F.col("_dy_t") - F.col("_owed_t") * owed_lead).over(before_now(w))),
+        ("_base_in", lambda w: F.last(based, ignorenulls=True).over(before_now(w))),
+    ]
+
+    def placed(axis: str, inside: Column) -> Column:
+        """From a base in the block, else from one in an earlier block, whose place is relative to the key's start."""
+        earlier = F.coalesce(f"_d{axis}_in", F.lit(0.0)) + F.coalesce(f"_base_in.{axis}", F.lit(0.0))
+        own_base = F.col(f"_base.{axis}")
+        if axis == "y":
+            own_base = own_base - F.col("_base.owed") * owed_lead
+        return inside + F.when(F.col("_base").isNotNull(), own_base).otherwise(earlier)
+
+    result = {"x": placed("x", F.col("_dx")), "y": placed("y", F.col("_dy") - F.col("_owed") * owed_lead)}
+    return blockwise(ops, keys, order, block, local, totals, carry, result)
 
 
 def nesting_depth(log: DataFrame, keys: list[str], order: list[str], block: Column, opens: Column, closes: Column) -> DataFrame:
     """Adds ``depth`` after each event, and ``real``: false for a close on an empty stack, which is ignored."""
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    summed = running(log, keys, order, block, {"_sum": ("sum", step)})
-    low = running(summed, keys, order, block, {"_low": ("min", F.col("_sum"))}, inclusive=False)
-    floor = F.least(F.lit(0), F.col("_low"))
-    return low.withColumns({
-        "real": ~(closes & (F.col("_sum") < floor)), "depth": F.col("_sum") - F.least(floor, F.col("_sum")),
-    }).drop("_sum", "_low")
+    zero = F.lit(0).cast("long")
+    local = {
+        "_sum": lambda w: F.sum(step).over(until_now(w)),
+        "_low": lambda w: F.min("_sum").over(before_now(w)),
+    }
+    totals = {"_sum_t": F.sum(step), "_low_t": F.min("_sum")}
+    before = F.coalesce("_sum_in", zero)
+    carry = [
+        ("_sum_in", lambda w: F.sum("_sum_t").over(before_now(w))),
+        ("_low_in", lambda w: F.min(before + F.col("_low_t")).over(before_now(w))),
+    ]
+    at = before + F.col("_sum")
+    floor = F.least(zero, F.col("_low_in"), before + F.col("_low"))
+    result = {"real": ~(closes & (at < floor)), "depth": at - F.least(floor, at)}
+    return blockwise(log, keys, order, block, local, totals, carry, result)
 
 
 def state_asof(
@@ -68,19 +107,19 @@ def state_asof(
     """
     block = position_block(order)
     deep = nesting_depth(log, keys, [order], block, opens, closes).select(
-        *keys, order, "depth", sets.alias("_set"), (closes & F.col("real")).alias("_end"), reads.alias("_read"), value.alias("_value")
-    )
-    changes = deep.filter("_set OR _end").select(
-        *keys, order, (F.col("depth") + F.col("_end").cast("int")).cast("int").alias("level"),
-        F.struct(F.col("_set").alias("set"), F.col(order).alias("at"), F.col("_value").alias("value")).alias("change"),
-        F.lit(False).alias("_read"),
-    )
-    lookups = deep.filter("_read").select(
-        *keys, order, F.explode(F.sequence(F.lit(0), F.col("depth").cast("int"))).alias("level")
-    ).select(*keys, order, "level", F.lit(None).cast(changes.schema["change"].dataType).alias("change"), F.lit(True).alias("_read"))
-    found = running(
-        changes.unionByName(lookups), [*keys, "level"], [order, "_read"], block, {"seen": ("last", F.col("change"))}
-    ).filter("_read")
+        *keys, order, F.col("depth").cast("int").alias("depth"), sets.alias("_set"),
+        (closes & F.col("real")).alias("_end"), reads.alias("_read"), value.alias("_value"))
+    change = F.when(F.col("_set") | F.col("_end"), F.struct(
+        F.col("_set").alias("set"), F.col(order).alias("at"), F.col("_value").alias("value")))
+    at = F.array(F.col("depth") + F.col("_end").cast("int"))
+    lookups = F.sequence(F.lit(0), F.col("depth"))
+    # one row for each level that an event changes or looks up
+    touched = deep.filter("_set OR _end OR _read").select(
+        *keys, order, change.alias("change"), "_read",
+        F.explode(F.when(F.col("_read"), F.array_union(lookups, F.when(F.col("_set") | F.col("_end"), at).otherwise(F.array().cast("array<int>")))).otherwise(at)).alias("level"),
+        (F.col("depth") + F.col("_end").cast("int")).alias("_at"))
+    touched = touched.withColumn("change", F.when(F.col("level") == F.col("_at"), F.col("change")))
+    found = running(touched, [*keys, "level"], [order], block, {"seen": ("last", F.col("change"))}).filter("_read")
     alive = F.when(F.col("seen.set"), F.col("seen.at"))
     return found.groupBy(*keys, order).agg(F.max_by("seen.value", alive).alias("value"))
 

@@ -3,16 +3,23 @@
 A plain window over a key puts all rows of the key into one task, which fails when one key holds a
 large share of the table. The helpers here split each key into blocks of a coarse, monotone function
 of the order: rows are sorted only inside a block, one small row per block is carried across blocks.
-The window and the join back share the partitioning by (key, block). Null keys and null orders are kept,
-as in a window: null keys are one key, nulls come first.
+The rows are shuffled once, by (key, block); the windows inside blocks, the block summaries and the join
+back all use that partitioning. Null keys and null orders are kept, as in a window: null keys are one key,
+nulls come first.
+
+Blocks of a position hold a bounded number of rows. Where only a time or a coordinate is known, ``numbered``
+gives positions first, so that a million rows at one time are still cut into blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from pagelens.session import written
 
 POSITION_BLOCK = 4096
 
@@ -61,6 +68,63 @@ def dense_position(
     )
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_pos") -> DataFrame:
+    """Rows with increasing numbers along (keys, order), written once.
+
+    Rows are sorted by ranges; a number is the row's place in its range, after all numbers of the ranges before. So
+    blocks of numbers hold a bounded number of rows, however many share one key or one value of the order.
+    """
+    ranges = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return written(ranges.withColumn(out, F.monotonically_increasing_id()))
+
+
+def blockwise(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    block: Column,
+    local: Mapping[str, Callable[[WindowSpec], Column]],
+    totals: Mapping[str, Column],
+    carry: Sequence[tuple[str, Callable[[WindowSpec], Column]]],
+    result: Mapping[str, Column],
+    reverse: Collection[str] = (),
+) -> DataFrame:
+    """One pass over ordered rows: values inside blocks, block summaries, and what earlier blocks carry into each.
+
+    ``local`` are window columns over a block's rows, in order, each free to use those before; ``totals`` aggregate
+    rows and local columns of a block; ``carry`` are window columns over the totals of a key's blocks, in turn;
+    ``result`` combines local and carried columns. Names in ``reverse`` run from the end of the key. Windows have no
+    frame; the helpers below add one.
+    """
+    columns = df.columns
+    rows = df.withColumn("_part", F.struct(*keys, block.alias("_blk"))).repartition("_part")
+
+    def over(partition: str, columns: Sequence[str], name: str) -> WindowSpec:
+        turn = [F.col(c).desc() if name in reverse else F.col(c).asc() for c in columns]
+        return Window.partitionBy(partition).orderBy(*turn)
+
+    for name, build in local.items():
+        rows = rows.withColumn(name, build(over("_part", order, name)))
+    # Both sides name every column, so that they read the same shuffled rows and the input is computed once.
+    hashable = all("map<" not in t for _, t in df.dtypes)
+    named = F.max(F.hash(*columns)) if hashable else F.lit(0)
+    blocks = rows.groupBy("_part").agg(*[c.alias(n) for n, c in totals.items()], named.alias("_all"))
+    blocks = blocks.withColumns({"_key": F.struct(*[F.col("_part")[k].alias(k) for k in keys]), "_turn": F.col("_part._blk")})
+    for name, build in carry:
+        blocks = blocks.withColumn(name, build(over("_key", ["_turn"], name)))
+    carried = blocks.filter("_all IS NOT NULL").select("_part", *[n for n, _ in carry])
+    # structs are equal if their fields are, null meeting null
+    return rows.join(carried, "_part").select(*columns, *[c.alias(n) for n, c in result.items()])
+
+
+def until_now(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before_now(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,59 +132,40 @@ def running(
     block: Column,
     outs: Mapping[str, tuple[str, Column]],
     inclusive: bool = True,
-    reverse: bool = False,
+    reverse: bool | Collection[str] = False,
 ) -> DataFrame:
     """Running aggregates per key along ``order``.
 
     ``outs`` maps an output name to ``(kind, column)`` with kind one of sum, min, max, last. ``last``
     skips nulls. With ``inclusive=False`` the current row is left out; with ``reverse=True`` the run
-    goes from the end of the key. ``block`` must not decrease along ``order``.
+    goes from the end of the key, or only that of the named outputs. ``block`` must not decrease along ``order``.
     """
-    spec = {name: (kind, column) for name, (kind, column) in outs.items()}
-    rows = df.select("*", block.alias("_blk"), *[c.alias(f"_v_{n}") for n, (_, c) in spec.items()])
-
-    def direction(name: str) -> Column:
-        return F.col(name).desc() if reverse else F.col(name).asc()
-
-    inside = (
-        Window.partitionBy(*keys, "_blk")
-        .orderBy(*[direction(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(direction("_blk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    back = set(outs if reverse is True else reverse or ())
+    frame = until_now if inclusive else before_now
     folds = {"sum": F.sum, "min": F.min, "max": F.max}
-    totals, carries, locals_, merged = [], [], [], []
     at = F.struct(*order)
-    for name, (kind, _) in spec.items():
-        value = F.col(f"_v_{name}")
+    rows = df.select("*", *[c.alias(f"_v_{n}") for n, (_, c) in outs.items()])
+    local, totals, carry, result = {}, {}, [], {}
+    for name, (kind, _) in outs.items():
+        value, mine, total, held = F.col(f"_v_{name}"), f"_w_{name}", f"_t_{name}", f"_c_{name}"
         if kind == "last":
-            pick = F.min_by if reverse else F.max_by
-            totals.append(pick(value, F.when(value.isNotNull(), at)).alias(f"_t_{name}"))
-            carries.append(
-                F.last(f"_t_{name}", ignorenulls=True).over(across).alias(f"_c_{name}")
-            )
-            locals_.append(F.last(value, ignorenulls=True).over(inside).alias(f"_w_{name}"))
-            result = F.coalesce(f"_w_{name}", f"_c_{name}")
+            pick = F.min_by if name in back else F.max_by
+            local[mine] = lambda w, v=value: F.last(v, ignorenulls=True).over(frame(w))
+            totals[total] = pick(value, F.when(value.isNotNull(), at))
+            carry.append((held, lambda w, t=total: F.last(t, ignorenulls=True).over(before_now(w))))
+            result[name] = F.coalesce(mine, held)
         else:
             fold = folds[kind]
-            totals.append(fold(value).alias(f"_t_{name}"))
-            carries.append(fold(f"_t_{name}").over(across).alias(f"_c_{name}"))
-            locals_.append(fold(value).over(inside).alias(f"_w_{name}"))
+            local[mine] = lambda w, v=value, fold=fold: fold(v).over(frame(w))
+            totals[total] = fold(value)
+            carry.append((held, lambda w, t=total, fold=fold: fold(t).over(before_now(w))))
             if kind == "sum":
-                zero = F.lit(0)
-                result = F.coalesce(f"_w_{name}", zero) + F.coalesce(f"_c_{name}", zero)
-            elif kind == "max":
-                result = F.greatest(f"_w_{name}", f"_c_{name}")
+                result[name] = F.coalesce(mine, F.lit(0)) + F.coalesce(held, F.lit(0))
             else:
-                result = F.least(f"_w_{name}", f"_c_{name}")
-        merged.append(result.alias(name))
-    carried = rows.groupBy(*keys, "_blk").agg(*totals).select(*keys, "_blk", *carries)
-    inner = rows.select(*df.columns, "_blk", *locals_)
-    return join_null_safe(inner, carried, [*keys, "_blk"]).select(*df.columns, *merged)
+                result[name] = (F.greatest if kind == "max" else F.least)(mine, held)
+    turned = {f"_{kind}_{name}" for name in back for kind in "wc"}
+    made = blockwise(rows, keys, order, block, local, totals, carry, result, turned)
+    return made.select(*df.columns, *outs)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
