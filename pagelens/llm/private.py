@@ -5,7 +5,8 @@ estimated over the whole corpus, in whole documents and at any distance: with n(
 n(te) those that also hold entity e, and p(e) the share of all texts with e, the smoothed estimate is
 p(e|t) = (n(te) + WEIGHT * p(e)) / (n(t) + WEIGHT), and the disclosure is log2(p(e|t) / p(e)) bits. A term is telling
 when p(e|t) and the disclosure are large enough for some entity. Copies of one text count once; one text alone
-is no evidence, since each of its rare words would then reveal its entities.
+is no evidence, since each of its rare words would then reveal its entities. Nor are near copies: texts with entities
+are grouped by MinHash bands over runs of SHINGLE words, and the texts of a group count once, as entity and as term.
 
 A telling term is masked wherever it stands in a document that holds the entity, and with ``everywhere`` in
 any document, which is what the query does.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import table
+from pagelens.llm.common import components, table
 from pagelens.session import written
 
 # The patterns of the contract, written so that no start inside a run is tried again and
@@ -32,32 +33,54 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 TERM = r"[\p{L}\p{N}_]{2,}+"
+SHINGLE = 3  # words
+BANDS, PER_BAND = 10, 3  # near copies at a similarity of 0.8 share a band with a chance of 0.999, at 0.1 of 0.01
 WEIGHT = 2.0  # texts that the prior p(e) counts as
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often lambdas read it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before_each(values: Column, fold, start: Column) -> Column:
+    """``fold`` (sum or maximum) of all values before each position, by runs of about the root of their number."""
+    def folded(array: Column, first: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(array, first, count), start, fold)
+
+    def with_root(v: Column, root: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), root), lambda j: folded(v, j * root + 1, root))
+
+        def place(heads: Column, i: Column) -> Column:
+            run = F.floor(i / root).cast("int")
+            return fold(F.get(heads, run), folded(v, run * root + 1, i - run * root))
+
+        def from_runs(r: Column) -> Column:
+            heads = F.transform(F.sequence(F.lit(0), root), lambda j: folded(r, F.lit(1), j))
+            return let(heads, lambda h: F.transform(v, lambda _, i: place(h, i)))
+
+        return let(runs, from_runs)
+
+    return let(values, lambda v: let(
+        F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int")), lambda root: with_root(v, root)))
+
+
 def spans_of(text: Column, pattern: str | Column, kind: int = 0) -> Column:
     """Leftmost non-overlapping matches with their positions in code points."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.length(part["gap"])
-        stop = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), part["hit"].alias("value")
-        )
-        return F.struct(
-            stop.alias("at"),
-            F.when(part["hit"].isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(span))).alias("spans"),
-        )
+    def placed(hits: Column) -> Column:
+        ends = F.zip_with(gaps, hits, lambda g, hit: g + F.coalesce(F.length(hit), F.lit(0)))
+        starts = F.zip_with(before_each(ends, lambda a, b: a + b, F.lit(0)), gaps, lambda at, g: at + g)
+        spans = F.zip_with(starts, hits, lambda at, hit: F.struct(
+            at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(hit)).alias("stop"), hit.alias("value")))
+        return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(F.slice(spans, F.lit(1), F.size(hits)))
 
-    nothing = F.array().cast(SPAN)
-    first = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
-    return F.when(F.size(found) == 0, nothing).otherwise(F.aggregate(parts, first, step, lambda done: done["spans"]))
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), placed)
 
 
 def valid(span: Column) -> Column:
@@ -79,23 +102,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.filter(F.concat(*found), valid))
 
 
+def rewritten(text: Column, spans: Column, mark) -> Column:
+    """The text with ``mark(span, size)`` in place of the part of each span that no earlier one covers."""
+    covered = before_each(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b), F.lit(0))
+
+    def made(chars: Column) -> Column:
+        def piece(span: Column, at: Column) -> Column:
+            gap = F.array_join(F.slice(chars, at + 1, F.greatest(F.lit(0), span["start"] - at)), "")
+            return F.concat(gap, mark(span, F.greatest(F.lit(0), span["stop"] - F.greatest(at, span["start"])), at))
+
+        last = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        rest = F.array_join(F.slice(chars, last + 1, F.greatest(F.lit(0), F.size(chars) - last)), "")
+        return F.concat(F.array_join(F.zip_with(spans, covered, piece), ""), rest)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.split(text, ""), made))
+
+
 def cleared(text: Column, spans: Column) -> Column:
     """The text with blanks in place of the spans; positions stay the same."""
-    def step(done: Column, span: Column) -> Column:
-        start = F.greatest(done["at"], span["start"])
-        stop = F.greatest(done["at"], span["stop"])
-        gap = F.substring(text, done["at"] + 1, start - done["at"])
-        return F.struct(stop.alias("at"), F.concat(done["out"], gap, F.repeat(F.lit(" "), stop - start)).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, first, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(rest)
+    return rewritten(text, spans, lambda span, size, at: F.repeat(F.lit(" "), size))
 
 
 def entities_of(base: str) -> Column:
     return F.array_distinct(F.transform(base, lambda b: F.lower(b["value"])))
 
 
+def bands_of(words: Column) -> Column:
+    """MinHash bands of the runs of words."""
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(runs, lambda h: F.xxhash64(h, F.lit(seed))))
+
+    return F.array(*[
+        F.xxhash64(F.lit(band), *[least(band * PER_BAND + k) for k in range(PER_BAND)]) for band in range(BANDS)])
+
+
+def contexts(texts: DataFrame) -> DataFrame:
+    """Adds ``label``, one for all texts (_key, words) that are near copies of each other."""
+    edges = texts.select(F.col("_key").alias("a"), F.explode(bands_of(F.col("words"))).alias("b"))
+    labels = components(edges).withColumnRenamed("node", "_key")
+    return texts.join(labels, "_key")
+
+
 def telling_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, entity) of all terms that reveal an entity, and the rows (doc_id, _key, base, word, term) of such terms.
 
@@ -103,24 +153,25 @@ def telling_terms(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     number of texts, so only terms that pass by it need to be counted in the others.
     """
     total = found.agg(F.count_distinct("_key").alias("n")).scalar()
-    holding = written(
-        found.filter(F.size("base") > 0).groupBy("_key").agg(F.first("words").alias("words"), F.first("base").alias("base"))
-        .select(F.array_distinct(F.transform("words", F.lower)).alias("terms"), entities_of("base").alias("entities"))
-    )
+    holding = found.filter(F.size("base") > 0).groupBy("_key").agg(F.first("words").alias("words"), F.first("base").alias("base"))
+    holding = written(contexts(written(holding)).select(
+        "label", F.array_distinct(F.transform("words", F.lower)).alias("terms"), entities_of("base").alias("entities")))
     prior = F.col("n_entity") / total
     share = (F.col("n_both") + WEIGHT * prior) / (F.col("n_term") + WEIGHT)
     enough = (share >= MIN_SHARE) & (F.log2(share / prior) >= MIN_BITS)
     # in one text, or in more than 2 ** -MIN_BITS of all, an entity has no term that reaches both limits
-    entity = holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("entity").alias("n_entity"))
+    entity = holding.select("label", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("entity").alias("n_entity"))
     entity = written(entity.filter((F.col("n_entity") >= 2) & (prior <= 2.0**-MIN_BITS)))
-    both = holding.select("terms", F.explode("entities").alias("entity")).join(entity, "entity", "left_semi")
-    both = both.select("entity", F.explode("terms").alias("term")).groupBy("term", "entity").agg(F.count("term").alias("n_both"))
-    least = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("term").alias("n_term"))
+    both = holding.select("label", "terms", F.explode("entities").alias("entity")).join(entity, "entity", "left_semi")
+    both = both.select("label", "entity", F.explode("terms").alias("term")).distinct().groupBy("term", "entity").agg(F.count("term").alias("n_both"))
+    least = written(holding.select("label", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("term").alias("n_term")))
     some = written(both.filter("n_both >= 2").join(entity, "entity").join(least, "term").filter(enough).drop("n_term"))
     rows = found.select("doc_id", "_key", "base", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
     rows = written(rows.join(written(some.select("term").distinct()), "term", "left_semi"))
-    texts = rows.select("term", "_key").distinct().groupBy("term").agg(F.count("_key").alias("n_term"))
-    return some.join(texts, "term").filter(enough).select("term", "entity"), rows
+    others = rows.filter(F.size("base") == 0).select("term", "_key").distinct().groupBy("term").agg(F.count("_key").alias("n_other"))
+    counted = some.join(least, "term").join(others, "term", "left").withColumn(
+        "n_term", F.col("n_term") + F.coalesce("n_other", F.lit(0)))
+    return counted.filter(enough).select("term", "entity"), rows
 
 
 def find_private(docs: DataFrame, everywhere: bool = False) -> DataFrame:
@@ -159,19 +210,10 @@ def sanitised(text: Column, spans: Column) -> Column:
     """The text with every span generalised to the name of its kind; overlapping spans become one."""
     names = F.array(*map(F.lit, KINDS))
 
-    def step(done: Column, span: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, span["start"] - done["at"])
-        fresh = span["start"] >= done["at"]
-        mark = F.concat(F.lit("<"), F.get(names, span["kind"]), F.lit(">"))
-        return F.struct(
-            F.greatest(done["at"], span["stop"]).alias("at"),
-            F.when(fresh, F.concat(done["out"], gap, mark)).otherwise(done["out"]).alias("out"),
-        )
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans, first, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    )
+    def mark(span: Column, size: Column, at: Column) -> Column:
+        return F.when(span["start"] >= at, F.concat(F.lit("<"), F.get(names, span["kind"]), F.lit(">"))).otherwise("")
+
+    return rewritten(text, spans, mark)
 
 
 def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
