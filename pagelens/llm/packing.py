@@ -13,6 +13,7 @@ are packed as often as they occur; a null doc_id stays.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,11 +25,12 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelens.llm.common import table, whole
+from pagelens.llm.common import in_frames, table, whole
 
 WINDOW = 2048
 END = 1
 BATCH = 256
+LONG_RUN = re.compile(r"\s{10000}")
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -51,9 +53,24 @@ def tokenizer(path: str | None):
     )
 
 
-def encode(turn, text: str) -> np.ndarray:
-    """Ids of a text, then the end id. The special token's string is that token, as the tokenizers file has it."""
-    ids = turn.encode(text, allowed_special="all")
+@lru_cache(maxsize=2)
+def slow_tokenizer(path: str | None):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(path or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def encode(turn, text: str, path: str | None = None) -> np.ndarray:
+    """Ids of a text, then the end id. The special token's string is that token, as the tokenizers file has it.
+
+    The fast form cannot match runs of some hundred thousand blanks; texts with runs of LONG_RUN go to the
+    tokenizers file (``path``), which gives the same ids.
+    """
+    if LONG_RUN.search(text):
+        ids = slow_tokenizer(path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = turn.encode(text, allowed_special="all")
     return np.array([*ids, END], dtype="<u4")
 
 
@@ -98,8 +115,8 @@ class Packer:
                 yield from held
 
 
-def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The pieces of all sequences."""
+def pack(docs: DataFrame, path: str | None = None, slow_path: str | None = None) -> DataFrame:
+    """The pieces of all sequences. The paths name the vocabulary as ranks and as a tokenizers file."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = tokenizer(path)
         base, made = TaskContext.get().partitionId() << 33, 0
@@ -123,8 +140,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             for at in range(0, len(frame), BATCH):
                 part = frame.iloc[at : at + BATCH]
                 for doc_id, text in zip(part["doc_id"].tolist(), part["text"]):
-                    ids = encode(turn, whole(text))
-                    doc_id = doc_id if doc_id == doc_id else None
+                    ids = encode(turn, whole(text), slow_path)
                     cut = len(ids) - len(ids) % WINDOW
                     for start in range(0, cut, WINDOW):
                         close([(doc_id, start, ids[start : start + WINDOW], len(ids))])
@@ -147,7 +163,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             close(held)
         yield flushed()
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    return in_frames(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
