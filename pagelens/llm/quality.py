@@ -21,8 +21,8 @@ from pagelens.llm.common import per_row, table, whole, words_of
 from pagelens.session import written
 
 SYMBOLS = "#*$%&|<>"
-#: Words with symbols stuck to letters.
-MARKED = re.compile(r"[^\W\d_][.,!?]?[#*$%&|<>]{2,}")
+#: Any of the symbols, wherever it stands in a word.
+MARKED = re.compile(r"[#*$%&|<>]")
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -50,8 +50,8 @@ def measure(doc_id, text) -> tuple:
     coded = text.encode("utf-8", "surrogatepass")
     upper = len(coded) - len(coded.translate(None, delete=CAPITALS))
     return (
-        doc_id if doc_id == doc_id else None, len(words), sum(map(len, words)),
-        sum(text.count(s) for s in SYMBOLS), dup_lines, repeated_words(words), lines, upper, len(MARKED.findall(text)),
+        doc_id, len(words), sum(map(len, words)),
+        sum(text.count(s) for s in SYMBOLS), dup_lines, repeated_words(words), lines, upper, sum(1 for w in words if MARKED.search(w)) if MARKED.search(text) else 0,
     )
 
 
