@@ -6,7 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagelens.session import written
 
@@ -47,6 +50,17 @@ def whole(text: str | None) -> str:
     return text if isinstance(text, str) else ""
 
 
+def in_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As mapInPandas, but a column of integers with nulls holds integers and None in place of rounded floats."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(batch.to_pandas(integer_object_nulls=True) for batch in arrow):
+            yield pa.RecordBatch.from_pandas(frame, target, preserve_index=False)
+
+    return df.mapInArrow(batches, schema)
+
+
 def per_row(df: DataFrame, schema: str, columns: list[str], row: Callable[..., tuple]) -> DataFrame:
     """One output row for each input row, from the named columns, in Arrow batches."""
     names = [part.split()[0] for part in schema.split(",")]
@@ -57,7 +71,7 @@ def per_row(df: DataFrame, schema: str, columns: list[str], row: Callable[..., t
             made = pd.DataFrame(rows, columns=names, dtype=object)
             yield made
 
-    return df.select(*columns).mapInPandas(batches, schema)
+    return in_frames(df.select(*columns), batches, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ searched backwards together; occurrences are located through sampled suffix posi
 
 The benchmark is cut into blocks of bounded size; documents pass through one step for each block, so that
 memory holds one block and one shard. Null texts have no words. An item with fewer words than a window is
-one window; items without words and items without an id are left out. Repeated rows give repeated results.
+one window; items without words are left out. Words in an item without an id are hit, but it is not counted or named.
+A null doc_id is kept, an empty table gives no rows, and repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import fold_case, table, whole
+from pagelens.llm.common import fold_case, in_frames, table, whole
 
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -39,15 +40,15 @@ def item_words(text) -> list[str]:
 class Windows:
     """Distinct windows of a block of items by length, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW):
         self.numbers: dict[str, int] = {}
-        found: dict[tuple, set[str]] = {}
+        found: dict[tuple, set[str | None]] = {}
         for item_id, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 2) for w in item_words(text)]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
                 found.setdefault(tuple(ids[at : at + size]), set()).add(item_id)
         keys = sorted(found, key=lambda k: (len(k), k))
-        self.items = [sorted(found[k]) for k in keys]
+        self.items = [sorted(found[k] - {None}) for k in keys]
         self.least = min((len(k) for k in keys), default=0)
         self.groups = []
         for length in sorted({len(k) for k in keys}):
@@ -208,9 +209,9 @@ def merged(a, b) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """Items with an id and a text, in blocks of bounded size, one at a time on the driver."""
+    """Items with a text, in blocks of bounded size, one at a time on the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text IS NOT NULL")
     for row in rows.toLocalIterator():
         if block and size + len(row["text"]) > BLOCK_CHARS:
             yield block
@@ -264,7 +265,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str]
                     made["_n_words"], made["_spans"], made["_items"] = n_words, [[list(s) for s in x] for x in spans], items
                     yield made if done is None else done(made)
 
-        found = found.mapInPandas(search, schema if done is None else fields)
+        found = in_frames(found, search, schema if done is None else fields)
     return found
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import table, whole
+from pagelens.llm.common import in_frames, table, whole
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 1000  # bound of the model that goes to the tasks: BUCKETS floats for each language
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: list
 
     kept = docs.select(*dict.fromkeys([*columns, "text"]))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return kept.mapInPandas(guess, f"{fields}, _lang_pred string, _score double, _langs string")
+    return in_frames(kept, guess, f"{fields}, _lang_pred string, _score double, _langs string")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import sorted_groups, table, whole
+from pagelens.llm.common import in_frames, sorted_groups, table, whole
 from pagelens.llm.jaccard import block_pairs
 from pagelens.session import written
 
@@ -75,7 +75,6 @@ def parse(texts: DataFrame) -> DataFrame:
             for doc_id, uid, text in zip(frame["doc_id"].tolist(), frame["uid"].tolist(), frame["text"]):
                 data = text.encode("utf-8", "surrogatepass")
                 view = memoryview(data)
-                doc_id = doc_id if doc_id == doc_id else None
                 for start, size, at in phrases(data):
                     rows.append((
                         doc_id, uid, start, size, signed(digest(view[at : at + TRIGGER])),
@@ -87,7 +86,7 @@ def parse(texts: DataFrame) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": object})
 
-    return texts.select("doc_id", "uid", "text").mapInPandas(run, RUNS)
+    return in_frames(texts.select("doc_id", "uid", "text"), run, RUNS)
 
 
 def window_places(data: bytes, windows: np.ndarray) -> np.ndarray:
@@ -229,12 +228,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = b
                 kept = b"".join(parts) + data[at:]
                 rows.append((
-                    doc_id if doc_id == doc_id else None, len(data), len(data) - len(kept), len(gone),
+                    doc_id, len(data), len(data) - len(kept), len(gone),
                     hashlib.sha256(kept).hexdigest(), kept,
                 ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")], dtype=object)
 
-    return joined.mapInPandas(cut, RESULT)
+    return in_frames(joined, cut, RESULT)
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

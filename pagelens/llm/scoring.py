@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import CASE_FOLD, sorted_groups, table, whole
+from pagelens.llm.common import CASE_FOLD, in_frames, sorted_groups, table, whole
 from pagelens.llm.trie import Trie, restore
 from pagelens.session import written
 
@@ -112,7 +112,7 @@ def read_chunks(docs: DataFrame) -> DataFrame:
                 data = whole(text).encode("utf-8", "surrogatepass")
                 found = list(map(vocabulary.__getitem__, data.translate(CASE_FOLD).split()))
                 found.append(END)
-                ids.append(doc_id if doc_id == doc_id else None)
+                ids.append(doc_id)
                 held.append(bool(out))
                 tokens.append(np.array(found, np.int64))
                 size += len(data)
@@ -122,7 +122,7 @@ def read_chunks(docs: DataFrame) -> DataFrame:
             yield close()
 
     rows = docs.select("doc_id", "text", (fold == HELD_OUT).alias("held"))
-    return rows.mapInPandas(run, "kind int, chunk long, payload binary")
+    return in_frames(rows, run, "kind int, chunk long, payload binary")
 
 
 def shard_bounds(hashes: np.ndarray, shards: int) -> np.ndarray:

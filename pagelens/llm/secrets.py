@@ -86,7 +86,7 @@ def digest(doc_id, text) -> tuple:
     spans = find_secrets(whole(text))
     base = [s for s in spans if s[1] < 3]
     counts = [sum(s[1] == k for s in base) for k in range(3)]
-    return (doc_id if doc_id == doc_id else None, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+    return (doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

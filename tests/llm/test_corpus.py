@@ -166,11 +166,9 @@ def test_phrases_depend_on_their_own_bytes():
 def plain_hits(texts, items, size=10):
     windows = defaultdict(set)
     for item, text in items:
-        if item is None or text is None:
-            continue
         w = decontaminate.item_words(text)
         for k in range(max(1, len(w) - size + 1) if w else 0):
-            windows[tuple(w[k : k + size])].add(str(item))
+            windows[tuple(w[k : k + size])] |= set() if item is None else {str(item)}
     lengths = {len(k) for k in windows}
     out = []
     for text in texts:
