@@ -5,7 +5,7 @@ of some window. Every 400-byte window has exactly one trigger that its own bytes
 one trigger form a phrase: its bytes, with the 399 that follow, and two occurrences of a window always fall
 into phrases with the same bytes at the trigger. The parse is the list of phrase occurrences.
 
-- Phrases that are equal as a whole repeat as a whole; this settles nearly all of a copied passage.
+- Phrases that are equal as a whole, by hashes of 128 bits, repeat as a whole; this settles nearly all of a copied passage.
 - Phrases that share their trigger bytes but differ form the dictionary. Its suffixes are sorted to a depth of
   400 bytes, and windows of different phrases that share a place in this order repeat.
 
@@ -38,7 +38,7 @@ PIECE = 1 << 22  # window starts handled at a time
 BATCH = 1_000_000  # dictionary bytes sorted at a time
 
 U = np.uint64
-RUNS = "doc_id long, uid long, start int, size int, anchor long, key long"
+RUNS = "doc_id long, uid binary, start int, size int, anchor long, key binary"
 
 
 def phrases(data: bytes) -> Iterator[tuple[int, int, int]]:
@@ -68,7 +68,7 @@ def signed(value: int) -> int:
 
 def parse(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
+        anchor, key = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         names = [c.split()[0] for c in RUNS.split(", ")]
         for frame in frames:
             rows: list[tuple] = []
@@ -77,8 +77,8 @@ def parse(texts: DataFrame) -> DataFrame:
                 view = memoryview(data)
                 for start, size, at in phrases(data):
                     rows.append((
-                        doc_id, uid, start, size, signed(digest(view[at : at + TRIGGER])),
-                        signed(digest(view[start : start + size + SPAN - 1])),
+                        doc_id, uid, start, size, signed(anchor(view[at : at + TRIGGER])),
+                        key(view[start : start + size + SPAN - 1]),
                     ))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=names).astype({"doc_id": object})
@@ -139,7 +139,7 @@ def _repeats(group: pd.DataFrame) -> pd.DataFrame:
     again = np.bincount(place)[place] > 1  # one trigger, one offset: never twice in a phrase
     at = np.flatnonzero(again)
     if not len(at):
-        return pd.DataFrame({"anchor": [], "key": [], "low": [], "high": []}).astype("int64")
+        return pd.DataFrame({"anchor": [], "key": [], "low": [], "high": []}).astype({"anchor": "int64", "low": "int64", "high": "int64"})
     cut = (phrase[at][1:] != phrase[at][:-1]) | (offset[at][1:] != offset[at][:-1] + 1)
     starts = np.flatnonzero(np.concatenate([[True], cut]))
     ends = np.append(starts[1:], len(at)) - 1
@@ -180,9 +180,9 @@ def find_repeats(texts: DataFrame) -> DataFrame:
     chosen = texts.join(
         wanted, (texts["uid"] == wanted["_uid"]) & texts["doc_id"].eqNullSafe(wanted["_doc"])
     ).select("text", "wanted")
-    dictionary = chosen.mapInPandas(cut, "anchor long, key long, m long, bytes binary")
+    dictionary = chosen.mapInPandas(cut, "anchor long, key binary, m long, bytes binary")
     ranges = block_pairs(dictionary, "anchor", "m").mapInPandas(
-        dictionary_repeats, "anchor long, key long, low long, high long"
+        dictionary_repeats, "anchor long, key binary, low long, high long"
     )
     # a phrase that occurs more than once repeats as a whole
     ranges = written(ranges.unionByName(
@@ -212,7 +212,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """For every document the merged removals and the bytes that are left."""
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", F.xxhash64(text).alias("uid"), text.alias("text"))
+    texts = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("uid"), text.alias("text"))
     spans = written(find_repeats(texts)).withColumnRenamed("uid", "_uid")
     joined = texts.join(spans, texts["uid"] == spans["_uid"], "left").select("doc_id", "text", "spans")
 
