@@ -32,7 +32,7 @@ from pagelens.operators.graph import (
     components_of_small_pages,
     with_labels,
 )
-from pagelens.operators.skew import join_null_safe, running
+from pagelens.operators.skew import join_null_safe, numbered, position_block, running
 from pagelens.session import checkpointed, written
 
 PAGE_LIMIT = 1024
@@ -342,9 +342,8 @@ def line_islands(df: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame
 
     Unlike ``text_lines`` this is independent of merge order, and runs blockwise on any page size.
     """
-    order = ["y0", "x0", "idx"]
-    block = F.floor(F.col("y0") / 64)
-    seen = running(df, keys, order, block, {"_low": ("max", F.col("y1"))}, inclusive=False)
+    rows, order, block = numbered(df, keys, ["y0", "x0", "idx"]), ["_pos"], position_block("_pos")
+    seen = running(rows, keys, order, block, {"_low": ("max", F.col("y1"))}, inclusive=False)
     starts = seen.withColumn("_new", (F.col("_low").isNull() | (F.col("y0") > F.col("_low"))).cast("int"))
     return running(starts, keys, order, block, {"line": ("sum", F.col("_new"))}).select(*df.columns, "line")
 
@@ -361,7 +360,7 @@ def line_joined(df: DataFrame, keys: Sequence[str], large: bool = False) -> Data
     before = F.struct(F.col("x1").alias("x1"), height.alias("h"), tight_join(F.col("content")).alias("tight"))
     if large:
         rows = running(
-            df, line_keys, order, F.floor(F.col("x0") / 64), {"prev": ("last", before)}, inclusive=False
+            numbered(df, line_keys, order), line_keys, ["_pos"], position_block("_pos"), {"prev": ("last", before)}, inclusive=False
         )
     else:
         rows = df.withColumn("prev", F.lag(before).over(Window.partitionBy(*line_keys).orderBy(*order)))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.geom import Rect, all_of, any_of
 from pagelens.functions.rules import has_text, stripped
-from pagelens.operators.skew import first_by, running
-from pagelens.session import checkpointed
+from pagelens.operators.skew import first_by, numbered, position_block, running
+from pagelens.session import checkpointed, written
 
 CELL = 256.0
 BAND = 4096
@@ -184,7 +184,7 @@ def nearest_page(windows: DataFrame, layout: DataFrame) -> DataFrame:
     """Page whose centre is nearest to each window's centre line, lowest index on ties.
 
     Pages are stacked, so only the last page centred above the line and the first at or below it can
-    be nearest: two running picks over lines and centres sorted together, no join of all pairs.
+    be nearest: two running picks, one from either end, over lines and centres numbered together.
     """
     none = F.lit(None).cast("long")
     pages = layout.select(
@@ -197,9 +197,9 @@ def nearest_page(windows: DataFrame, layout: DataFrame) -> DataFrame:
     )
     both = pages.unionByName(lines)
     spot = F.when(F.col("page") == 1, F.struct("at", "page_index"))
-    order, block = ["at", "page", "page_index", "top"], F.floor(F.col("at") / 65536)
-    above = running(both, ["doc_id"], order, block, {"above": ("last", spot)})
-    picked = running(above, ["doc_id"], order, block, {"below": ("last", spot)}, reverse=True).filter("page = 0")
+    both = numbered(both, ["doc_id"], ["at", "page", "page_index", "top"])
+    picks = {"above": ("last", spot), "below": ("last", spot)}
+    picked = running(both, ["doc_id"], ["_pos"], position_block("_pos"), picks, reverse=["below"]).filter("page = 0")
 
     def candidate(name: str) -> Column:
         return F.when(F.col(name).isNotNull(), F.struct(
@@ -224,9 +224,12 @@ def dominant_page(windows: DataFrame, layout: DataFrame) -> DataFrame:
     best = first_by(seen, ["doc_id", "top"], ["off", -F.col("view_area"), "away", "page_index"]).select(
         "doc_id", "top", F.col("page_index").cast("long").alias("_best")
     )
-    return nearest_page(windows, layout).join(best, ["doc_id", "top"], "left").select(
-        "doc_id", "top", F.coalesce("_best", "page_index").alias("page_index")
-    )
+    asked = windows.select("doc_id", F.col("top").cast("long").alias("top"), "width", "height").join(best, ["doc_id", "top"], "left")
+    asked = written(asked)
+    lost = asked.filter("_best IS NULL").drop("_best")
+    near = nearest_page(lost, layout.join(lost.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return asked.filter("_best IS NOT NULL").select("doc_id", "top", F.col("_best").alias("page_index")).unionByName(
+        near.select("doc_id", "top", "page_index"))
 
 
 def rank_pages(windows: DataFrame, layout: DataFrame, preferred: DataFrame) -> DataFrame:

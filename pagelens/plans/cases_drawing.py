@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import strokes as st
 from pagelens.functions.geom import Rect, rect_path_bounds, rotate_bounds, to_screen
 from pagelens.operators import drawing as dr
-from pagelens.operators.skew import dense_position, time_block
+from pagelens.operators.skew import dense_position, numbered, position_block, time_block
 from pagelens.plans.fixtures import with_views
 from pagelens.plans.registry import case
 
@@ -81,7 +81,8 @@ ORDER = ["ts", "event_id"]
       WINDOW w AS (PARTITION BY item ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))
   WINDOW w AS (PARTITION BY item ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""", extra={"ops": OPS_SQL}))
 def t4(t):
-    return dr.line_origins(_ops(t), ["item"], ORDER, time_block("ts")).select("event_id", "item", "op", "x", "y")
+    ops = numbered(_ops(t), ["item"], ORDER)
+    return dr.line_origins(ops, ["item"], ["_pos"], position_block("_pos")).select("event_id", "item", "op", "x", "y")
 
 
 TAG_KIND = """SELECT page_id, seq, tag IN ('div', 'ul', 'nav', 'article', 'table') AS opens,
@@ -196,7 +197,8 @@ def t10(t):
         "ts": F.col("ts").cast("timestamp"), "px": F.when(paint.isNull(), F.col("generation").cast("double")),
         "py": F.when(paint.isNull(), F.round("value")),
     })
-    return dr.path_bounds(ops, ["item"], ORDER, time_block("ts"), paint, pen=3.0)
+    ops = numbered(ops, ["item"], ORDER)
+    return dr.path_bounds(ops, ["item"], ["_pos"], position_block("_pos"), paint, pen=3.0)
 
 
 @case("T11_stroke", """

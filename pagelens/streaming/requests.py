@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pagelens.operators.skew import running, time_block
+from pagelens.operators.skew import numbered, position_block, running
 
 ORDER = ["ts", "event_id"]
 STALL_SECONDS = 4
@@ -32,16 +32,16 @@ def progress(log: DataFrame) -> DataFrame:
 
 def drop_superseded(log: DataFrame) -> DataFrame:
     """Rows whose generation is not older than the newest seen before for their item."""
-    rows = _stamped(log)
-    seen = running(rows, ["item"], ORDER, time_block("ts"), {"_newest": ("max", F.col("generation"))}, inclusive=False)
+    rows = numbered(_stamped(log), ["item"], ORDER)
+    seen = running(rows, ["item"], ["_pos"], position_block("_pos"), {"_newest": ("max", F.col("generation"))}, inclusive=False)
     return seen.filter(F.col("_newest").isNull() | (F.col("generation") >= F.col("_newest"))).select(*log.columns)
 
 
 def change_feed(log: DataFrame, value: str) -> DataFrame:
     """Rows whose value differs from the row before for their item; nulls compare as values."""
-    rows = _stamped(log)
+    rows = numbered(_stamped(log), ["item"], ORDER)
     before = F.struct(F.col(value).alias("v"))
-    seen = running(rows, ["item"], ORDER, time_block("ts"), {"_prev": ("last", before)}, inclusive=False)
+    seen = running(rows, ["item"], ["_pos"], position_block("_pos"), {"_prev": ("last", before)}, inclusive=False)
     return seen.filter(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col(value))).select(*log.columns)
 
 
@@ -53,7 +53,7 @@ def stalled(log: DataFrame, starts: Column, ends: Column, seconds: int = STALL_S
     """
     rows = _stamped(log).select("event_id", "ts", "item", starts.alias("_start"), ends.alias("_end")).filter("_start OR _end")
     following = running(
-        rows, ["item"], ORDER, time_block("ts"),
+        numbered(rows, ["item"], ORDER), ["item"], ["_pos"], position_block("_pos"),
         {"_next": ("last", F.struct("ts", "_start"))}, inclusive=False, reverse=True,
     ).filter("_start")
     limit = F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))
