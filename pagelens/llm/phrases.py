@@ -9,8 +9,10 @@ Three kinds of passes, none of which shuffles texts or indexes:
    adds up. A phrase is an interval in both indexes: the reverse transform gives the words to its right and the other
    one those to its left, and each step moves both intervals together.
 
-Shards learn which phrases are frequent from a Bloom filter of bounded size. What it lets through wrongly is only
-counted in vain, so that its size changes the work and never the result.
+Shards learn which phrases are frequent from a Bloom filter of bounded size. Word pairs, of which there are far more
+than of longer phrases, are first counted in hashed buckets, and only those in buckets with enough occurrences are
+counted by themselves. What either filter lets through wrongly is counted in vain, so that their sizes change the work
+and never the result.
 
 Null texts are empty, a null language is ``und``, null ids and repeated rows count like any others, an empty table
 gives no rows, and other columns are not read. A piece is held by one shard; long texts are cut between pieces.
@@ -41,6 +43,9 @@ RUN_WORDS = 200_000  # numbered or counted at once
 DISTINCT = 300_000  # words counted by a task before it hands on its counts
 ROWS_PER_BATCH = 100_000
 FILTER_BITS = 1 << 28  # at most, 32 MB
+RANGE_BITS = 16  # of the bucket number inside a range of buckets
+HELD_BUCKETS = 4_000_000  # bucket counts held by a task
+HELD_PHRASES = 1_000_000  # phrases held by a task
 SALTS = 256
 
 MARK = b"\xff"  # between pieces; not a byte of UTF-8
@@ -109,12 +114,21 @@ def make_filter(frequent: DataFrame) -> Filter:
     maps = rows.groupBy(F.expr("bitmap_bucket_number(place + 1)").alias("bucket")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(place + 1))").alias("bits"))
     packed = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():  # bits / 32768 rows of 4 KB
+    for row in maps.collect():  # bits / 32768 rows of 4 KB
         start = (row["bucket"] - 1) * 4096
         packed[start : start + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)[: len(packed) - start]
     return Filter(bits, packed)
 
 
+class Buckets(Filter):
+    """One bit for each bucket of hashes."""
+
+    @staticmethod
+    def places(hashes: np.ndarray, bits: int) -> np.ndarray:
+        mixed = (hashes ^ (hashes >> np.uint64(32))) * STEP
+        return (mixed >> np.uint64(65 - bits.bit_length())).astype(np.int64)[None]
+
+
 # --- index of a shard --------------------------------------------------------------------------
 
 def suffix_order(symbols: np.ndarray, depth: int = LONGEST) -> np.ndarray:
@@ -181,7 +195,7 @@ class Shard:
         """Phrases of ``length`` words whose parts of one word less may be frequent: symbols (rows), counts.
 
         All but the first word come from steps to the right, the first one from a step to the left.
-        ``filters[k]`` knows the frequent phrases of k + 1 words.
+        ``filters[k]`` knows the frequent phrases of k + 1 words; one for the length itself is used if there is any.
         """
         low = self.left.first[1:-1]
         forward, backward, count = low, low, np.diff(self.left.first)[1:]
@@ -201,7 +215,12 @@ class Shard:
         which, symbol, forward, backward, count = self.left.extend(forward, backward, count)
         symbols = np.concatenate([symbol[:, None], symbols[which]], axis=1)
         likely = filters[length - 2].holds(hashed(symbols[:, :-1]))
-        return symbols[likely], count[likely]
+        symbols, count = symbols[likely], count[likely]
+        hashes = hashed(symbols)
+        for known in filters[length - 1 : length]:
+            likely = known.holds(hashes)
+            symbols, count, hashes = symbols[likely], count[likely], hashes[likely]
+        return symbols, count, hashes
 
 
 # --- passes over the corpus --------------------------------------------------------------------
@@ -330,26 +349,130 @@ def index_texts(texts: DataFrame, known: Filter, shard_words: int = SHARD_WORDS)
     return written(texts.mapInArrow(build, SHARDS))
 
 
-def count_phrases(shards: DataFrame, filters: list[Filter], length: int) -> DataFrame:
-    """Counts of the phrases of ``length`` words that may be frequent, by shard."""
+def found_in(batches: Iterator[pa.RecordBatch], filters: list[Filter], length: int):
+    """Language, words, and the phrases of each shard."""
+    for batch in batches:
+        for row in range(len(batch)):
+            lang, words, before, after = [batch.column(c)[row].as_py() for c in ("lang", "words", "before", "after")]
+            found = read_shard(words, before, after).phrases(word_hash([lang])[0], word_hash(words), filters, length)
+            yield lang, words, *found
+
+
+def crowded_buckets(shards: DataFrame, filters: list[Filter], length: int, least: int, words: int) -> Buckets:
+    """Buckets that hold ``least`` occurrences: four for each word of the corpus, at most FILTER_BITS."""
+    bits = min(FILTER_BITS, 1 << max(RANGE_BITS + 1, (4 * words).bit_length()))
     shared = shards.sparkSession.sparkContext.broadcast(filters)
+    width, kind = 1 << RANGE_BITS, np.uint8 if least < 256 else np.uint32
+
+    def ranges(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        place, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+        n = np.minimum(np.bincount(at, np.concatenate([n for _, n in held])), least).astype(kind)
+        number, start = np.unique(place >> RANGE_BITS, return_index=True)
+        inside, ends = (place & (width - 1)).astype(np.uint16), [*start[1:].tolist(), len(place)]
+        rows = [(inside[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(start.tolist(), ends)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(number), *[pa.array(c, pa.binary()) for c in zip(*rows)]], ["number", "inside", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, _, _, n, hashes in found_in(batches, shared.value, length):
+            if len(n):
+                held.append((Buckets.places(hashes, bits)[0], n))
+                size += len(n)
+            if size >= HELD_BUCKETS:
+                yield from ranges(held)
+                held, size = [], 0
+        if held:
+            yield from ranges(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(width, np.int64)
+
+        def crowded() -> Iterator[pa.RecordBatch]:
+            packed = np.packbits(total >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([packed], pa.binary())], ["number", "bits"])
+
+        for batch in batches:
+            for number, inside, n in zip(*[batch.column(c).to_pylist() for c in ("number", "inside", "n")]):
+                if now is not None and number != now:
+                    yield from crowded()
+                    total[:] = 0
+                now = number
+                total[np.frombuffer(inside, np.uint16)] += np.frombuffer(n, kind)
+        if now is not None:
+            yield from crowded()
+
+    parts = shards.mapInArrow(count, "number long, inside binary, n binary")
+    maps = parts.repartition("number").sortWithinPartitions("number").mapInArrow(add, "number long, bits binary")
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in maps.collect():  # bits / 65536 rows of 8 KB
+        packed[row["number"] * width // 8 :][: width // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return Buckets(bits, packed)
+
+
+PACKS = "number long, lang binary, phrases array<binary>, n array<long>"
+
+
+def count_phrases(shards: DataFrame, filters: list[Filter], length: int, least: int, words: int) -> DataFrame:
+    """Phrases (lang, phrase, f) of ``length`` words found ``least`` times in all shards together.
+
+    A task adds up the counts of its shards and returns them in packs by ranges of the phrases' hashes, one range for
+    a million words of the corpus; a range is added up by one task, and only its frequent phrases become rows.
+    """
+    shared = shards.sparkSession.sparkContext.broadcast(filters)
+    drop = np.uint64(64 - max(8, (words >> 20).bit_length()))
+
+    def packs(held: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            names, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            order = np.argsort(numbers := word_hash(names) >> drop, kind="stable")
+            number, start = np.unique(numbers[order], return_index=True)
+            ends = pa.array([*start.tolist(), len(order)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number.astype(np.int64)), pa.array([lang] * len(number), pa.binary()),
+                 pa.ListArray.from_arrays(ends, pa.array([names[k] for k in order.tolist()], pa.binary())),
+                 pa.ListArray.from_arrays(ends, pa.array(n[order]))],
+                ["number", "lang", "phrases", "n"])
+        held.clear()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, Counter] = defaultdict(Counter)
+        for lang, words, symbols, n, _ in found_in(batches, shared.value, length):
+            counts = held[lang]
+            for at in range(0, len(n), ROWS_PER_BATCH):
+                part = (symbols[at : at + ROWS_PER_BATCH] - 1).T.tolist()
+                texts = map(b" ".join, zip(*[map(words.__getitem__, column) for column in part]))
+                for text, times in zip(texts, n[at : at + ROWS_PER_BATCH].tolist()):
+                    counts[text] += times
+            if sum(map(len, held.values())) > HELD_PHRASES:
+                yield from packs(held)
+        yield from packs(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, Counter()
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            rows = [(lang, phrase, n) for (lang, phrase), n in total.items() if n >= least]
+            total.clear()
+            if rows:
+                yield from counted(*map(list, zip(*rows)))
+
         for batch in batches:
-            for row in range(len(batch)):
-                lang, words, before, after = [batch.column(c)[row].as_py() for c in ("lang", "words", "before", "after")]
-                symbols, n = read_shard(words, before, after).phrases(
-                    word_hash([lang])[0], word_hash(words), shared.value, length)
-                for at in range(0, len(n), ROWS_PER_BATCH):
-                    part = (symbols[at : at + ROWS_PER_BATCH] - 1).T.tolist()
-                    texts = [b" ".join(p) for p in zip(*[map(words.__getitem__, column) for column in part])]
-                    yield from counted([lang] * len(texts), texts, n[at : at + ROWS_PER_BATCH].tolist())
+            for number, lang, names, n in zip(*[batch.column(c).to_pylist() for c in ("number", "lang", "phrases", "n")]):
+                if number != now:
+                    yield from frequent()
+                now = number
+                for name, times in zip(names, n):
+                    total[lang, name] += times
+        yield from frequent()
 
-    return shards.mapInArrow(search, COUNTS)
+    parts = shards.mapInArrow(search, PACKS).repartition("number").sortWithinPartitions("number")
+    return written(parts.mapInArrow(add, COUNTS).select(
+        F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), F.col("n").alias("f")))
 
 
 def summed(counts: DataFrame, least: int) -> DataFrame:
-    """Phrases (lang, phrase, f) found often enough, with the null phrase of each language's total."""
+    """Words (lang, phrase, f) found often enough, with the null phrase of each language's total."""
     total = counts.groupBy(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase")).agg(
         F.sum("n").alias("f"))
     return written(total.filter((F.col("f") >= least) | F.col("phrase").isNull()))
@@ -368,8 +491,10 @@ def frequent_phrases(
     levels = [words.filter("phrase IS NOT NULL")]
     filters = [make_filter(levels[0])]
     shards = index_texts(texts, filters[0], shard_words)
+    words_in_all = totals.agg(F.sum("n")).first()[0] or 0
     for length in range(2, longest + 1):
-        levels.append(summed(count_phrases(shards, filters, length), least))
+        hashed = [crowded_buckets(shards, filters, 2, least, words_in_all)] if length == 2 else []
+        levels.append(count_phrases(shards, filters + hashed, length, least, words_in_all))
         if length < longest:
             filters.append(make_filter(levels[-1]))
     found = levels[0].withColumn("size", F.lit(1))
