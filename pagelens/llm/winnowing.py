@@ -24,6 +24,7 @@ WINDOW = 16  # grams, a power of two
 PRIME = 2**31 - 1
 BASE = 1_000_003
 BITS = 31  # of a hash and of a position
+LAST = (1 << BITS) - 1
 BLOCK_BITS = 8  # of the number of documents in a block
 
 
@@ -31,15 +32,18 @@ def _halves(size: int) -> list[int]:
     return [1 << k for k in range(size.bit_length() - 1)]
 
 
-def with_grams(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """For each text column, a column of its grams: hash << BITS | (LAST - position), so that the least is rightmost."""
-    rest = [c for c in df.columns if c not in columns.values()]
-    now = df.select(*rest, *[
-        F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")))
-        .otherwise(F.array().cast("array<long>")).alias(out)
-        for text, out in columns.items()
-    ])
-    outs = list(columns.values())
+def with_grams(df: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """For each text column, with the position of its first character, a column of its grams.
+
+    A gram is hash << BITS | (LAST - position), so that the least one is rightmost among equal hashes.
+    """
+    now = df.withColumns({
+        out: F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long")))
+        .otherwise(F.array().cast("array<long>"))
+        for text, (out, _) in columns.items()
+    }).withColumns({f"_at_{out}": first for out, first in columns.values()}).drop(*columns)
+    outs = [out for out, _ in columns.values()]
+    rest = [c for c in now.columns if c not in outs]
 
     def each(build) -> DataFrame:
         return now.select(*rest, *[build(c).alias(c) for c in outs])
@@ -53,14 +57,14 @@ def with_grams(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         now = each(lambda c, half=half, power=power: F.expr(
             f"named_struct('n', {c}.n, 'h', if({c}.n < {GRAM}, {c}.h, zip_with({c}.h, slice({c}.h, {half + 1}, size({c}.h)), "
             f"(a, b) -> (a * {power} + b) % {PRIME})))"))
-    last = (1 << BITS) - 1
-    return each(lambda c: F.expr(
+    now = each(lambda c: F.expr(
         f"transform(slice({c}.h, 1, if({c}.n = 0, 0, greatest(1, {c}.n - {GRAM - 1}))), "
-        f"(h, i) -> shiftleft(h, {BITS}) | ({last} - i))"))
+        f"(h, i) -> shiftleft(h, {BITS}) | ({LAST} - _at_{c} - i))"))
+    return now.drop(*[f"_at_{c}" for c in outs])
 
 
-def winnowed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replaces columns of grams by the chosen ones, in the order of their positions."""
+def with_minima(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replaces columns of grams by the least one of each window; fewer grams than a window are one window."""
     rest = [c for c in df.columns if c not in columns]
     now = df.withColumns({f"_n_{c}": F.size(c) for c in columns})
     counts = [f"_n_{c}" for c in columns]
@@ -69,15 +73,13 @@ def winnowed(df: DataFrame, columns: list[str]) -> DataFrame:
         now = now.select(*rest, *counts, *[
             F.expr(f"zip_with({c}, slice({c}, {half + 1}, _n_{c}), (a, b) -> least(a, b))").alias(c) for c in columns])
     return now.select(*rest, *[
-        F.expr(f"array_distinct(slice({c}, 1, if(_n_{c} = 0, 0, greatest(1, _n_{c} - {WINDOW - 1}))))").alias(c)
-        for c in columns])
+        F.expr(f"slice({c}, 1, if(_n_{c} = 0, 0, greatest(1, _n_{c} - {WINDOW - 1})))").alias(c) for c in columns])
 
 
 def fingerprint(chosen: str) -> Column:
     """hash:position of each chosen gram, comma-joined."""
-    last = (1 << BITS) - 1
     return F.array_join(F.transform(chosen, lambda p: F.concat(
-        F.shiftright(p, BITS).cast("string"), F.lit(":"), (F.lit(last) - p.bitwiseAND(F.lit(last))).cast("string"))), ",")
+        F.shiftright(p, BITS).cast("string"), F.lit(":"), (F.lit(LAST) - p.bitwiseAND(F.lit(LAST))).cast("string"))), ",")
 
 
 def hashes(chosen: str) -> Column:
@@ -128,11 +130,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     size = F.length("_text")
     cut = F.floor(size / 4).cast("int")
     edited = pairs.withColumn("_n", size).withColumn("_edited", F.concat(
-        F.substring("_text", F.lit(1), size - cut), F.substring("_next", F.lit(1), cut))).select(
-        "_key", "_block", "_guest", "_seq", "_text", "_edited", "_n",
+        F.substring("_text", F.lit(1), size - cut), F.substring("_next", F.lit(1), cut)))
+    # windows that end before the cut are those of the text; only the rest of the edited text is read
+    edited = edited.withColumn("_from", F.greatest(F.lit(0), size - cut - (GRAM + WINDOW - 2))).select(
+        "_key", "_block", "_guest", "_seq", "_text", F.expr("substring(_edited, _from + 1)").alias("_tail"), "_n", "_from",
         F.sha2(F.col("_edited").cast("binary"), 256).alias("_sha"))
-    grams = with_grams(edited, {"_text": "_own", "_edited": "_new"}).drop("_text", "_edited")
-    chosen = winnowed(grams, ["_own", "_new"])
+    grams = with_grams(edited, {"_text": ("_own", F.lit(0)), "_tail": ("_new", F.col("_from"))})
+    minima = with_minima(grams, ["_own", "_new"])
+    chosen = minima.select(
+        "_key", "_block", "_guest", "_seq", "_n", "_sha", F.array_distinct("_own").alias("_own"),
+        F.array_distinct(F.concat(F.slice("_own", F.lit(1), F.col("_from")), "_new")).alias("_new"))
     made = chosen.select(
         "_key", "_block", "_guest", "_seq", "_n", "_sha", fingerprint("_own").alias("_f"), fingerprint("_new").alias("_e"),
         hashes("_own").alias("_a"), hashes("_new").alias("_b"))

@@ -218,6 +218,31 @@ def c7(t):
     return ct.inherit(t.tree_edge(), _roots(t), t.tree_attr(), ("media", "res")).select("node", "media", "res")
 
 
+@case("C7_inherit_corpus", """
+  WITH RECURSIVE node AS (
+    SELECT l_orderkey AS doc_id, l_linenumber AS obj, min(CAST(l_suppkey AS BIGINT)) AS ord,
+      min(CASE WHEN l_returnflag = 'R' THEN concat('box-', l_suppkey) END) AS media, min(CASE WHEN l_linestatus = 'F' THEN concat('res-', l_partkey) END) AS res
+    FROM lineitem GROUP BY 1, 2),
+  walk AS (
+    SELECT DISTINCT doc_id, 0 AS obj, 0 AS depth, [0::BIGINT] AS path, NULL::VARCHAR AS media, NULL::VARCHAR AS res FROM node
+    UNION ALL SELECT w.doc_id, n.obj, w.depth + 1, list_append(w.path, n.ord), coalesce(n.media, w.media), coalesce(n.res, w.res)
+    FROM walk w JOIN node n ON n.doc_id = w.doc_id AND n.obj // 2 = w.obj AND n.obj > 0)
+  SELECT doc_id, obj::INT AS node, depth, array_to_string(path, '/') AS place, media, res FROM walk""")
+def c7_corpus(t):
+    """One tree for each order; object numbers start again in each."""
+    own = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("box-"), F.col("l_suppkey").cast("string")))
+    tied = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("res-"), F.col("l_partkey").cast("string")))
+    nodes = t.table("lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("node")).agg(
+        F.min(F.col("l_suppkey").cast("long")).alias("ord"), F.min(own).alias("media"), F.min(tied).alias("res"))
+    edges = nodes.filter("node > 0").select(
+        "doc_id", F.floor(F.col("node") / 2).cast(nodes.schema["node"].dataType).alias("parent"), F.col("node").alias("child"), "ord")
+    start = F.lit(0).cast(nodes.schema["node"].dataType)
+    roots = nodes.select("doc_id").distinct().select("doc_id", start.alias("node"), F.lit(0).cast("long").alias("ord"))
+    found = ct.inherit(edges, roots, nodes.select("doc_id", "node", "media", "res"), ("media", "res"), ("doc_id",))
+    place = F.array_join(F.col("path").cast("array<string>"), "/")
+    return found.select("doc_id", F.col("node").cast("int").alias("node"), "depth", place.alias("place"), "media", "res")
+
+
 @case("C8_with_fallback", with_views("tree_edge", """
   SELECT parent AS file, child AS page FROM tree_edge WHERE parent LIKE 'C%' AND ord % 3 = 0
   UNION ALL SELECT 'C' || o_custkey, 'flat' || o_orderkey FROM orders WHERE 'C' || o_custkey NOT IN (SELECT parent FROM tree_edge WHERE parent LIKE 'C%' AND ord % 3 = 0)"""))
