@@ -216,7 +216,25 @@ def t11(t):
         st.line_cap(F.col("l_linenumber") % 3).alias("cap"), st.line_join(F.col("l_linenumber") % 3).alias("joined"))
 
 
-@case("T12_normalise_dash")
+@case("T12_normalise_dash", """
+  WITH RECURSIVE given AS (
+    SELECT p_partkey, [((p_partkey * m) % 4)::DOUBLE * CASE WHEN p_partkey % 2 = 0 THEN -1.0 ELSE 1.0 END FOR m IN [1, 3, 7, 11, 13]][1:(p_size % 6)::INT] AS dash
+    FROM part),
+  pairs AS (
+    SELECT p_partkey, dash, CASE WHEN len(dash) % 2 = 1 THEN list_concat(size, size) ELSE size END AS d
+    FROM (SELECT *, [abs(v) FOR v IN dash] AS size FROM given)),
+  fold AS (
+    SELECT p_partkey, d, 0 AS i, []::DOUBLE[] AS done, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS held FROM pairs
+    UNION ALL SELECT p_partkey, d, i + 1,
+      CASE WHEN line <= 0.0001 OR (off <= 0.0001 AND more) THEN done ELSE list_concat(
+        CASE WHEN len(done) = 0 THEN done ELSE list_append(done[:-2], done[-1] + gap) END,
+        [line, CASE WHEN off <= 0.0001 THEN 0.0001 ELSE off END]) END,
+      CASE WHEN line <= 0.0001 THEN gap + off WHEN off <= 0.0001 AND more THEN gap WHEN len(done) >= 2 THEN 0.0 ELSE gap END,
+      CASE WHEN line > 0.0001 AND off <= 0.0001 AND more THEN line ELSE 0.0 END
+    FROM (SELECT *, d[2 * i + 1] + held AS line, d[2 * i + 2] AS off, 2 * i + 2 < len(d) AS more FROM fold WHERE 2 * i < len(d)))
+  SELECT p.p_partkey, p.dash, CASE WHEN len(p.dash) = 0 THEN p.dash WHEN len(done) = 0 THEN done
+    ELSE list_append(done[:-2], done[-1] + gap) END AS normal
+  FROM pairs p JOIN fold f ON f.p_partkey = p.p_partkey AND 2 * f.i = len(p.d)""")
 def t12(t):
     key = F.col("p_partkey")
     raw = F.array(*[((key * m) % 4).cast("double") * F.when(key % 2 == 0, -1.0).otherwise(1.0) for m in (1, 3, 7, 11, 13)])
