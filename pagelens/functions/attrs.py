@@ -13,23 +13,38 @@ _NUMBER = r"[+\-]?(?:\d+\.\d+|\d+|\.\d+)"
 REFERENCE = r"(?:/([^/\s<>\[\]\(\)]+)\s+\[?\s*)?(\d+)\s+(\d+)\s+R\b"
 
 
-def _first(body: Column, names: tuple[str, ...], value: str, as_type: str) -> Column:
-    """The first name that has a value, in the order given."""
+_UNSIGNED, _SIGNED = r"\d+", r"[+\-]?\d+"
+
+
+def _first(body: Column, names: tuple[str, ...], value: str) -> Column:
+    """Text of the first name that has a value, in the order given."""
     found = [F.regexp_extract(body, re.escape(n) + r"\s+(" + value + ")", 1) for n in names]
-    return F.coalesce(*[F.when(f != "", f) for f in found]).try_cast(as_type)
+    return F.coalesce(*[F.when(f != "", f) for f in found])
+
+
+def _read(body: Column, names: tuple[str, ...], value: str, as_type: str, default: float | None) -> Column:
+    """The value; the default where it is missing; null where it is there but does not fit the type."""
+    text = _first(body, names, value)
+    return F.when(text.isNull(), F.lit(default).cast(as_type)).otherwise(text.try_cast(as_type))
 
 
 def attr_int(body: Column, *names: str, default: int | None = None) -> Column:
-    """Unsigned integer after a name. Without a default a missing value is null, for ``quarantine``."""
-    return F.coalesce(_first(body, names, r"\d+", "int"), F.lit(default).cast("int"))
+    """Unsigned integer after a name. A missing value without a default and one too large are null, for ``quarantine``."""
+    return _read(body, names, _UNSIGNED, "int", default)
 
 
 def attr_signed(body: Column, *names: str, default: int | None = None) -> Column:
-    return F.coalesce(_first(body, names, r"[+\-]?\d+", "int"), F.lit(default).cast("int"))
+    return _read(body, names, _SIGNED, "int", default)
 
 
 def attr_float(body: Column, *names: str, default: float | None = None) -> Column:
-    return F.coalesce(_first(body, names, _NUMBER, "double"), F.lit(default).cast("double"))
+    return _read(body, names, _NUMBER, "double", default)
+
+
+def number_state(body: Column, *names: str, signed: bool = False) -> Column:
+    """missing, bad (there, but beyond an integer) or value, so that ``quarantine`` can name the reason."""
+    text = _first(body, names, _SIGNED if signed else _UNSIGNED)
+    return F.when(text.isNull(), "missing").when(text.try_cast("int").isNull(), "bad").otherwise("value")
 
 
 def attr_numbers(body: Column, name: str, default: list[float]) -> Column:

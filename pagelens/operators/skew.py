@@ -41,33 +41,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
 
 
-def dense_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    levels: Sequence[Column],
-    out: str,
-) -> DataFrame:
-    """0-based rank of each row inside its key, by ``order``.
-
-    ``levels`` is a coarse prefix of the order: sorting by (levels, order) equals sorting by order.
-    """
-    names = [f"_lv{i}" for i in range(len(levels))]
-    rows = df.select("*", *[c.alias(n) for c, n in zip(levels, names)])
-    counts = rows.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *keys, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    ranked = rows.withColumn("_rn", F.row_number().over(inside))
-    return (
-        join_null_safe(ranked, starts, [*keys, *names])
-        .withColumn(out, F.col("_start") + F.col("_rn") - 1)
-        .drop(*names, "_rn", "_start")
-    )
-
-
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_pos") -> DataFrame:
     """Rows with increasing numbers along (keys, order), written once.
 
@@ -125,6 +98,26 @@ def before_now(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def dense_position(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    levels: Sequence[Column],
+    out: str,
+) -> DataFrame:
+    """0-based rank of each row inside its key, by ``order``.
+
+    ``levels`` is a coarse prefix of the order: sorting by (levels, order) equals sorting by order.
+    """
+    return blockwise(
+        df, keys, order, F.struct(*[c.alias(f"_lv{i}") for i, c in enumerate(levels)]),
+        local={"_rn": lambda w: F.row_number().over(w)},
+        totals={"_n": F.count(F.lit(1))},
+        carry=[("_start", lambda w: F.sum("_n").over(before_now(w)))],
+        result={out: F.coalesce("_start", F.lit(0)) + F.col("_rn") - 1},
+    )
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

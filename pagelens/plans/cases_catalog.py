@@ -334,6 +334,17 @@ def c14(t):
     return drawn.select("name", "depth", "x0", "x1", "y0", "y1")
 
 
+@case("D1_quarantine_states", """
+  SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no width' WHEN wide > 2147483647 THEN 'width too large' END AS reason
+  FROM (SELECT *, p_partkey::HUGEINT * p_size * 100000 AS wide FROM part) WHERE p_size % 5 = 0 OR wide > 2147483647""")
+def d1_states(t):
+    width = (F.col("p_partkey").cast("decimal(20, 0)") * F.col("p_size") * 100000).cast("decimal(30, 0)").cast("string")
+    body = F.when(F.col("p_size") % 5 == 0, "<< /Type /X >>").otherwise(F.concat(F.lit("<< /Width "), width, F.lit(" >>")))
+    rows = t.table("part").select("p_partkey", at.number_state(body, "/Width", "/W").alias("width"))
+    return quarantine(rows, "p_partkey", {
+        "no width": F.col("width") == "missing", "width too large": F.col("width") == "bad"})[1]
+
+
 @case("D1_quarantine", f"""
   SELECT p_partkey, 'good' AS state, CASE p_partkey % 3 WHEN 1 THEN p_size ELSE p_size + 100 END AS width FROM part WHERE p_partkey % 3 <> 0 AND p_size <= 40
   UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'no width' ELSE 'too deep' END, NULL FROM part WHERE p_partkey % 3 = 0 OR p_size > 40""")

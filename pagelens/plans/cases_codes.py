@@ -45,6 +45,17 @@ def e2(t):
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("pos").alias("last_pos"))
 
 
+@case("E3_beyond_range_cap", """
+  SELECT font, entry, lo + 65536 AS lo, hi FROM (
+    SELECT p_brand AS font, p_partkey AS entry, (p_size * 10)::BIGINT AS lo, (p_size * 10 + p_partkey * 1000)::BIGINT AS hi FROM part)
+  WHERE hi - lo >= 65536""")
+def e3_cut(t):
+    ranges = t.table("part").select(
+        F.col("p_brand").alias("font"), F.col("p_partkey").alias("entry"), (F.col("p_size") * 10).cast("long").alias("lo"),
+        (F.col("p_size") * 10 + F.col("p_partkey") * 1000).cast("long").alias("hi"))
+    return cd.beyond_range_cap(ranges)
+
+
 @case("E3_expand_ranges", """
   SELECT font, code, chr(CAST(arg_max(target, entry) AS INT)) AS text FROM (
     SELECT font, entry, code, dst + code - lo AS target FROM (
