@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.common import components, table
+from pagelens.llm.common import table
 from pagelens.session import written
 
 # The patterns of the contract, written so that no start inside a run is tried again and
@@ -34,7 +34,7 @@ PATTERNS = {
 KINDS = [*PATTERNS, "term"]
 TERM = r"[\p{L}\p{N}_]{2,}+"
 SHINGLE = 3  # words
-BANDS, PER_BAND = 10, 3  # near copies at a similarity of 0.8 share a band with a chance of 0.999, at 0.1 of 0.01
+BANDS, PER_BAND = 6, 2  # near copies at a similarity of 0.8 share a band with a chance of 0.998, at 0.1 of 0.06
 WEIGHT = 2.0  # texts that the prior p(e) counts as
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
@@ -140,9 +140,12 @@ def bands_of(words: Column) -> Column:
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """Adds ``label``, one for all texts (_key, words) that are near copies of each other."""
-    edges = texts.select(F.col("_key").alias("a"), F.explode(bands_of(F.col("words"))).alias("b"))
-    labels = components(edges).withColumnRenamed("node", "_key")
+    """Adds ``label``, one for texts (_key, words) that are near copies: the least key two bands away."""
+    bands = written(texts.repartition("_key").select("_key", F.explode(bands_of(F.col("words"))).alias("band")))
+    labels = texts.select("_key", F.col("_key").alias("label"))
+    for _ in range(2):
+        least = bands.join(labels, "_key").groupBy("band").agg(F.min("label").alias("label"))
+        labels = bands.join(least, "band").groupBy("_key").agg(F.min("label").alias("label"))
     return texts.join(labels, "_key")
 
 
