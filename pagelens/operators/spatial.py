@@ -185,6 +185,7 @@ def nearest_page(windows: DataFrame, layout: DataFrame) -> DataFrame:
 
     Pages are stacked, so only the last page centred above the line and the first at or below it can
     be nearest: two running picks, one from either end, over lines and centres numbered together.
+    A window of a document without pages has no nearest page and gives no row.
     """
     none = F.lit(None).cast("long")
     pages = layout.select(
@@ -207,7 +208,7 @@ def nearest_page(windows: DataFrame, layout: DataFrame) -> DataFrame:
         ))
 
     best = F.least(candidate("above"), candidate("below"))
-    return picked.select("doc_id", "top", best["page_index"].alias("page_index"), best["distance"].alias("distance"))
+    return picked.filter(best.isNotNull()).select("doc_id", "top", best["page_index"].alias("page_index"), best["distance"].alias("distance"))
 
 
 def dominant_page(windows: DataFrame, layout: DataFrame) -> DataFrame:

@@ -105,3 +105,11 @@ def test_windows_without_a_visible_page(spark):
     windows = spark.createDataFrame([(1, 0, 60, 50), (1, 5000, 60, 50), (1, 150, 60, 120)], "doc_id int, top long, width long, height long")
     got = {r["top"]: r["page_index"] for r in spatial.dominant_page(windows, layout).collect()}
     assert got == {0: 0, 5000: 4, 150: 2}
+
+
+def test_windows_of_documents_without_pages_find_none(spark):
+    layout = spark.createDataFrame([(1, 0, 0, 24, 900, 500)], "doc_id long, page_index int, x long, y long, w long, h long")
+    windows = spark.createDataFrame([(1, 5.0, 900.0, 800.0), (2, 5.0, 900.0, 800.0)], "doc_id long, top double, width double, height double")
+    assert [(r["doc_id"], r["page_index"]) for r in spatial.nearest_page(windows, layout).collect()] == [(1, 0)]
+    lost = windows.withColumn("top", F.lit(9000.0))
+    assert [(r["doc_id"], r["page_index"]) for r in spatial.dominant_page(lost, layout).collect()] == [(1, 0)]
