@@ -230,10 +230,12 @@ def sanitise(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     )
 
 
+def counted(spans: str, kind: int) -> Column:
+    """Number of spans of a kind. The lambda takes one argument: a second one would be the position."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     found = find_private(table(spark, folder, "documents"), everywhere=True)
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for k, kind in enumerate(PATTERNS)
-    ]
+    counts = [counted("base", k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
     return found.select("doc_id", *counts, F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans"))

@@ -86,3 +86,11 @@ def test_very_many_addresses_in_one_text(make):
     found = private.find_private(make([text, "some other text"])).orderBy("doc_id").first()
     assert len(found["spans"]) == 30_000 and found["spans"][-1]["stop"] == len(text)
     assert time.perf_counter() - began < 90
+
+
+def test_entities_are_counted_by_kind(spark, make, tmp_path):
+    card = "4111 1111 1111 1111"
+    texts = [f"1.2.3.4 then a@b.co then {card}", "a@b.co c@d.ef +1 234 567 8901 5.6.7.8", f"{card} and {card}", "+1 234 567 8901", None]
+    make(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in private.query(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in sorted(got)] == [(1, 1, 1, 0), (2, 1, 0, 1), (0, 0, 2, 0), (0, 0, 0, 1), (0, 0, 0, 0)]
