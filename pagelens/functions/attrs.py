@@ -122,38 +122,54 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[key]
 
 
-def _space_of(value: Column, ranks: dict[str, int], at: Column) -> Column:
-    """Struct (rank, at, kind, target) of one value: a name, the head of an array, or a reference."""
-    def part(pattern: str) -> Column:
+def _spaces_of(values: Column, ranks: dict[str, int]) -> Column:
+    """Structs (rank, at, kind, target) of values: names, heads of arrays, or references.
+
+    One step after the other, so that each pattern runs once for a value.
+    """
+    def part(value: Column, pattern: str) -> Column:
         return F.nullif(F.regexp_extract(value, "(?s)" + pattern, 1), F.lit(""))
 
-    head = F.regexp_replace(F.regexp_extract(value, r"^\[?\s*/\w+", 0), r"[\s/]", "")
-    plain = _lookup(PLAIN_SPACES, head)
-    number, name = part(r"^(\d+)\s+\d+\s+R\b"), part(f"^(/{_NAME_CHARS})")
-    by_form = {
-        "[ICCBased": ("icc", part(r"^\[\s*/\w+\s+(\d+)\s+\d+\s+R\s*\]")),
-        "[Indexed": ("indexed", part(rf"^\[\s*/\w+\b\s*/?({_NAME_CHARS})")),
-        "[Pattern": ("pattern", part(r"^(\[\s*/\w+(?:\s*/(?:DeviceGray|DeviceRGB|DeviceCMYK))?\s*\])")),
-        "reference": ("indirect", number),
-        "name": ("named", name),
-    }
-    form = F.when(plain.isNotNull(), head).when(number.isNotNull(), "reference").when(name.isNotNull(), "name").otherwise(head)
-    kind, target = plain, F.lit(None).cast("string")
-    for key, (known_as, found) in by_form.items():
-        kind = F.when((form == key) & found.isNotNull(), F.lit(known_as)).otherwise(kind)
-        if known_as != "pattern":
-            target = F.when(form == key, found).otherwise(target)
-    rank = F.when(kind.isNotNull(), _lookup(ranks, form))
-    return F.struct(rank.alias("rank"), at.alias("at"), kind.alias("kind"), target.alias("target"))
+    def parts(v: Column) -> Column:
+        return F.struct(
+            F.regexp_replace(F.regexp_extract(v, r"^\[?\s*/\w+", 0), r"[\s/]", "").alias("head"),
+            part(v, r"^(\d+)\s+\d+\s+R\b").alias("number"), part(v, f"^(/{_NAME_CHARS})").alias("name"),
+            part(v, r"^\[\s*/\w+\s+(\d+)\s+\d+\s+R\s*\]").alias("profile"),
+            part(v, rf"^\[\s*/\w+\b\s*/?({_NAME_CHARS})").alias("base"),
+            part(v, r"^(\[\s*/\w+(?:\s*/(?:DeviceGray|DeviceRGB|DeviceCMYK))?\s*\])").alias("pattern"))
+
+    def formed(p: Column) -> Column:
+        plain = _lookup(PLAIN_SPACES, p["head"])
+        form = F.when(plain.isNotNull(), p["head"]).when(p["number"].isNotNull(), "reference").when(
+            p["name"].isNotNull(), "name").otherwise(p["head"])
+        return F.struct(p.alias("p"), plain.alias("plain"), form.alias("form"))
+
+    def known(f: Column, at: Column) -> Column:
+        by_form = {
+            "[ICCBased": ("icc", "profile"), "[Indexed": ("indexed", "base"), "[Pattern": ("pattern", "pattern"),
+            "reference": ("indirect", "number"), "name": ("named", "name"),
+        }
+        kind, target = f["plain"], F.lit(None).cast("string")
+        for key, (known_as, held) in by_form.items():
+            found = f["p"][held]
+            kind = F.when((f["form"] == key) & found.isNotNull(), F.lit(known_as)).otherwise(kind)
+            if known_as != "pattern":
+                target = F.when(f["form"] == key, found).otherwise(target)
+        return F.struct(f["form"].alias("form"), at.alias("at"), kind.alias("kind"), target.alias("target"))
+
+    def ranked(k: Column) -> Column:
+        rank = F.when(k["kind"].isNotNull(), _lookup(ranks, k["form"]))
+        return F.struct(rank.alias("rank"), k["at"].alias("at"), k["kind"].alias("kind"), k["target"].alias("target"))
+
+    bare = F.transform(values, lambda v: F.regexp_replace(v, r"^\s+", ""))
+    return F.transform(F.transform(F.transform(F.transform(bare, parts), formed), known), ranked)
 
 
 def _first_space(values: Column, ranks: dict[str, int]) -> Column:
     """Struct (kind, target) of the value whose form comes first, of equal ones the leftmost; else null."""
-    known = F.filter(
-        F.transform(values, lambda v, i: _space_of(F.regexp_replace(v, r"^\s+", ""), ranks, i)), lambda s: s["rank"].isNotNull()
-    )
-    best = F.array_min(known)
-    return F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), best["target"].alias("target")))
+    found = F.filter(_spaces_of(values, ranks), lambda s: s["rank"].isNotNull())
+    best = F.slice(F.array_sort(found), 1, 1)
+    return F.get(F.transform(best, lambda s: F.struct(s["kind"].alias("kind"), s["target"].alias("target"))), F.lit(0))
 
 
 def classify_color_space(body: Column) -> Column:

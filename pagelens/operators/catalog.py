@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.attrs import classify_color_space, classify_definition, icc_fallback
 from pagelens.functions.geom import Rect, rect_path_bounds
-from pagelens.operators.skew import first_by
-from pagelens.session import checkpointed
+from pagelens.operators.skew import first_by, join_null_safe
+from pagelens.session import checkpointed, written
 
 
 def latest_definition(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -136,10 +136,12 @@ def resolve_color_spaces(
 
     ``objects`` is (obj, text), ``profiles`` (obj, alternate, components), ``named`` (name, kind), all with the
     document ``keys``.
-    A profile of another component count and a name nobody defines are reported as unsupported.
+    A profile of another component count and a name nobody defines are reported as unsupported. Equal bodies of a
+    document are looked at once.
     """
-    rows, place = list(dict.fromkeys([*keys, key])), [*keys, "target"]
-    first = bodies.select(*rows, classify_color_space(F.col(body)).alias("s")).select(*rows, "s.*")
+    bodies = bodies.select(*dict.fromkeys([*keys, key]), F.col(body).alias("_body"))
+    rows, place = [*keys, "_body"], [*keys, "target"]
+    first = written(bodies.select(*rows).distinct().select(*rows, classify_color_space(F.col("_body")).alias("s")).select(*rows, "s.*"))
     definitions = objects.select(*keys, F.col("obj").alias("target"), classify_definition(F.col("text")).alias("d"))
     indirect = first.filter("kind = 'indirect'").join(definitions, place, "left").select(
         *rows, F.coalesce("d.kind", F.lit("DeviceRGB")).alias("kind"), F.col("d.target").alias("target"))
@@ -149,7 +151,8 @@ def resolve_color_spaces(
     looked_up = direct.join(fallback, place, "left").join(names, place, "left")
     kind = F.when(F.col("kind") == "icc", F.coalesce("_icc", F.lit("unsupported"))).when(
         F.col("kind") == "named", F.coalesce("_named", F.lit("unsupported"))).otherwise(F.col("kind"))
-    return looked_up.select(*rows, kind.alias("kind"))
+    kinds = written(looked_up.select(*rows, kind.alias("kind")))
+    return join_null_safe(bodies, kinds, rows).drop("_body")
 
 
 MATRIX = ["a", "b", "c", "d", "e", "f"]

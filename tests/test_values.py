@@ -1,5 +1,7 @@
 """Numbers read from object text, and catalogues of several documents."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from pagelens.functions.attrs import attr_float, attr_int, attr_signed, number_state
@@ -65,3 +67,15 @@ def test_forms_and_color_spaces_of_several_documents(spark):
     named = spark.createDataFrame([("p", "/Cs1", "Separation")], "doc string, name string, kind string")
     kinds = catalog.resolve_color_spaces(bodies, "k", "body", none, profiles, named, ("doc",)).collect()
     assert sorted((r["doc"], r["kind"]) for r in kinds) == [("p", "Separation"), ("q", "unsupported")]
+
+
+def test_color_spaces_of_many_rows_take_seconds(spark):
+    texts = F.array(F.lit("/ColorSpace [ /ICCBased 1 0 R ]"), F.lit("/ColorSpace 10 0 R"), F.lit("/Width 5"))
+    bodies = spark.range(1_000_000).select("id", F.get(texts, (F.col("id") % 3).cast("int")).alias("body"))
+    objects = spark.createDataFrame([("10", "[ /Pattern /DeviceRGB ]")], "obj string, text string")
+    profiles = spark.createDataFrame([("1", None, 4)], "obj string, alternate string, components int")
+    named = spark.createDataFrame([], "name string, kind string")
+    begun = time.time()
+    kinds = catalog.resolve_color_spaces(bodies, "id", "body", objects, profiles, named).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in kinds} == {"DeviceCMYK": 333_334, "pattern": 333_333, "DeviceRGB": 333_333}
+    assert time.time() - begun < 30
