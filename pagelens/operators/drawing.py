@@ -14,15 +14,18 @@ OPERATORS = (
 ).split()
 
 
-def pen_positions(glyphs: DataFrame, keys: list[str], pos: str, advance: Column) -> DataFrame:
-    """Adds ``x``: the sum of the advances before each glyph of its run."""
-    return running(glyphs, keys, [pos], position_block(pos), {"x": ("sum", advance)}, inclusive=False)
+def pen_positions(glyphs: DataFrame, keys: list[str], pos: str, advance: Column, block: str | None = None) -> DataFrame:
+    """Adds ``x``: the sum of the advances before each glyph of its run.
+
+    ``block`` names a column of structs (keys, _blk) by which the glyphs have been spread.
+    """
+    return running(glyphs, keys, [pos], block or position_block(pos), {"x": ("sum", advance)}, inclusive=False)
 
 
-def apply_kerning(items: DataFrame, keys: list[str], pos: str, number: Column, advance: Column, size: float, scale: float) -> DataFrame:
+def apply_kerning(items: DataFrame, keys: list[str], pos: str, number: Column, advance: Column, size: float, scale: float, block: str | None = None) -> DataFrame:
     """Pen positions over array items: a number n moves back by n/1000 x size x scale, a text by its advance."""
     shift = F.when(number.isNotNull(), -number / 1000 * size * scale).otherwise(advance)
-    return pen_positions(items, keys, pos, shift)
+    return pen_positions(items, keys, pos, shift, block)
 
 
 def line_origins(ops: DataFrame, keys: list[str], order: list[str], block: Column) -> DataFrame:

@@ -31,7 +31,7 @@ def code_map(t):
     SELECT doc_id, string_agg(coalesce(m.text, ch), '' ORDER BY pos) AS text
     FROM glyph LEFT JOIN m ON glyph.code = m.code GROUP BY doc_id)""", extra={"m": CODE_MAP_SQL}))
 def e1(t):
-    out = cd.decode_codes(t.glyph(), code_map(t), ["doc_id"])
+    out = cd.decode_codes(t.glyph_blocks(), code_map(t), ["doc_id"], "part")
     return out.select("doc_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_hash"))
 
 
@@ -40,7 +40,7 @@ def e1(t):
     SELECT doc_id, pos // 2 AS pos, sum(CASE WHEN pos % 2 = 0 THEN (code % 256) * 256 ELSE code % 256 END)::BIGINT AS code
     FROM glyph GROUP BY doc_id, pos // 2) WHERE code NOT BETWEEN 55296 AND 57343 GROUP BY code"""))
 def e2(t):
-    pairs = cd.pair_codes(t.glyph(), ["doc_id"], F.col("code") % 256)
+    pairs = cd.pair_codes(t.glyph_blocks(), ["doc_id"], F.col("code") % 256, "part")
     return pairs.groupBy("code").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("pos").alias("last_pos"))
 
@@ -78,7 +78,7 @@ def e3(t):
     WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) LEFT JOIN names ON g = glyph
   WHERE num0 IS NULL AND num IS NOT NULL""", extra={"names": NAMES_SQL}))
 def e4(t):
-    return cd.assign_running_codes(t.token(), ["doc_id"])
+    return cd.assign_running_codes(t.token_blocks(), ["doc_id"], "part")
 
 
 @case("E5_expand_width_runs", """

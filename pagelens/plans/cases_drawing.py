@@ -37,7 +37,7 @@ STEP = "500 + (code * 7) % 300"
     SELECT doc_id, ch, coalesce(sum({STEP}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x FROM glyph)
   GROUP BY doc_id, ch"""))
 def t2(t):
-    placed = dr.pen_positions(t.glyph(), ["doc_id"], "pos", F.expr(STEP))
+    placed = dr.pen_positions(t.glyph_blocks(), ["doc_id"], "pos", F.expr(STEP), "part")
     return placed.groupBy("doc_id", "ch").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("first_x"), F.max("x").alias("last_x"), F.sum("x").alias("total"))
 
@@ -48,7 +48,7 @@ def t2(t):
       OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM glyph) GROUP BY doc_id"""))
 def t3(t):
     number = F.when(F.col("ch").between("0", "9"), F.col("code") * 10)
-    placed = dr.apply_kerning(t.glyph(), ["doc_id"], "pos", number, F.expr(STEP).cast("double"), 12.0, 0.9)
+    placed = dr.apply_kerning(t.glyph_blocks(), ["doc_id"], "pos", number, F.expr(STEP).cast("double"), 12.0, 0.9, "part")
     return placed.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 3).alias("low_x"), F.round(F.max("x"), 3).alias("high_x"))
 

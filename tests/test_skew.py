@@ -113,3 +113,14 @@ def test_windows_of_documents_without_pages_find_none(spark):
     assert [(r["doc_id"], r["page_index"]) for r in spatial.nearest_page(windows, layout).collect()] == [(1, 0)]
     lost = windows.withColumn("top", F.lit(9000.0))
     assert [(r["doc_id"], r["page_index"]) for r in spatial.dominant_page(lost, layout).collect()] == [(1, 0)]
+
+
+def test_glyphs_spread_by_block_are_not_shuffled_again(spark, tables):
+    glyphs = tables.glyph_blocks()
+    assert glyphs.drop("part").exceptAll(tables.glyph()).isEmpty() and tables.glyph().exceptAll(glyphs.drop("part")).isEmpty()
+    assert tables.token_blocks().drop("part").exceptAll(tables.token()).isEmpty()
+    placed = drawing.pen_positions(glyphs, ["doc_id"], "pos", F.col("code"), "part")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+    want = drawing.pen_positions(tables.glyph(), ["doc_id"], "pos", F.col("code"))
+    assert placed.drop("part").exceptAll(want).isEmpty()
