@@ -135,7 +135,8 @@ def locate_page(points: DataFrame, layout: DataFrame, point_key: str) -> DataFra
 def visible_pages(windows: DataFrame, layout: DataFrame, padding: int = 0) -> DataFrame:
     """Pages that strictly intersect each window (doc_id, top, width, height) grown up and down.
 
-    Adds the areas inside the plain and inside the grown window.
+    Adds the areas inside the plain and inside the grown window. Windows are small before they are spread over bands,
+    so they look small enough to broadcast; the hint keeps their rows out of the driver.
     """
     low, high = F.col("top") - padding, F.col("top") + F.col("height") + padding
     zones = windows.select("*", low.alias("z0"), high.alias("z1"), _bands(low, high).alias("band"))
@@ -148,18 +149,19 @@ def visible_pages(windows: DataFrame, layout: DataFrame, padding: int = 0) -> Da
     wide = F.least(F.col("x") + F.col("w"), "width") - F.greatest(F.lit(0), "x")
     bottom = F.col("y") + F.col("h")
     tall = F.least(bottom, F.col("top") + F.col("height")) - F.greatest("y", "top")
-    return zones.join(pages, ["doc_id", "band"]).filter(once & hit).select(
+    return zones.hint("merge").join(pages, ["doc_id", "band"]).filter(once & hit).select(
         "doc_id", "top", "width", "height", "page_index", "x", "y", "w", "h",
         (wide * F.greatest(F.lit(0), tall)).cast("long").alias("view_area"),
         (wide * (F.least(bottom, "z1") - F.greatest("y", "z0"))).cast("long").alias("zone_area"),
     )
 
 
-def expand_neighbours(seeds: DataFrame, counts: DataFrame, radius: int) -> DataFrame:
+def expand_neighbours(seeds: DataFrame, counts: DataFrame, radius: int | Column) -> DataFrame:
     """Distinct (doc_id, page_index) within ``radius`` of the seeds, inside 0..n-1."""
+    seeds = seeds.withColumn("_radius", radius if isinstance(radius, Column) else F.lit(radius))
     inside = seeds.join(counts, "doc_id").filter(F.col("page_index").between(F.lit(0), F.col("n") - 1))
     around = F.explode(F.sequence(
-        F.greatest(F.lit(0), F.col("page_index") - radius), F.least(F.col("n") - 1, F.col("page_index") + radius)
+        F.greatest(F.lit(0), F.col("page_index") - F.col("_radius")), F.least(F.col("n") - 1, F.col("page_index") + F.col("_radius"))
     ))
     return inside.select("doc_id", around.alias("page_index")).distinct()
 
@@ -217,6 +219,7 @@ def dominant_page(windows: DataFrame, layout: DataFrame) -> DataFrame:
     A window without a visible page takes the nearest page.
     """
     line = F.col("top") + _half(F.col("height"))
+    layout = written(layout)  # read by the visible pages and by the nearest ones
     seen = visible_pages(windows, layout).select(
         "doc_id", F.col("top").cast("long").alias("top"), "page_index",
         F.when((F.col("y") <= line) & (F.col("y") + F.col("h") >= line), 0).otherwise(1).alias("off"),
@@ -241,7 +244,7 @@ def rank_pages(windows: DataFrame, layout: DataFrame, preferred: DataFrame) -> D
     """
     keys = ["doc_id", "page_index"]
     zone = visible_pages(windows, layout, RENDER_PADDING)
-    chosen = preferred.join(windows, "doc_id").join(layout, keys)
+    chosen = preferred.join(windows.hint("merge"), "doc_id").join(layout, keys)
     zero = F.lit(0).cast("long")
     rest = chosen.join(zone.select("top", *keys), ["top", *keys], "left_anti").select(
         *[c for c in zone.columns if c not in ("view_area", "zone_area")],
@@ -271,14 +274,19 @@ def reorder_by_rank(queue: DataFrame, rank: DataFrame, current: DataFrame) -> Da
 
 
 def resident_set(windows: DataFrame, layout: DataFrame) -> DataFrame:
-    """Pages to keep: neighbours of the pages in the release zone, of visible pages, of the dominant page."""
-    counts = page_counts(layout)
+    """Pages to keep: neighbours of the pages in the release zone, of visible pages, of the dominant page.
 
-    def around(seeds: DataFrame, radius: int) -> DataFrame:
-        return expand_neighbours(seeds.select("doc_id", F.col("page_index").cast("long").alias("page_index")), counts, radius)
-
-    return union_index_sets(
-        around(visible_pages(windows, layout, RELEASE_PADDING), NEIGHBOURS),
-        around(visible_pages(windows, layout), NEIGHBOURS + 1),
-        around(dominant_page(windows, layout), NEIGHBOURS + 2),
-    )
+    The layout is read by every part, so it is written once; a page is a seed once, at its largest radius.
+    """
+    layout = written(layout)
+
+    def seeds(pages: DataFrame, radius: int) -> DataFrame:
+        return pages.select("doc_id", F.col("page_index").cast("long").alias("page_index"), F.lit(radius).alias("_far"))
+
+    parts = [
+        seeds(visible_pages(windows, layout, RELEASE_PADDING), NEIGHBOURS),
+        seeds(visible_pages(windows, layout), NEIGHBOURS + 1),
+        seeds(dominant_page(windows, layout), NEIGHBOURS + 2),
+    ]
+    farthest = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("doc_id", "page_index").agg(F.max("_far").alias("_far"))
+    return expand_neighbours(written(farthest), page_counts(layout), F.col("_far"))

@@ -124,3 +124,10 @@ def test_glyphs_spread_by_block_are_not_shuffled_again(spark, tables):
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
     want = drawing.pen_positions(tables.glyph(), ["doc_id"], "pos", F.col("code"))
     assert placed.drop("part").exceptAll(want).isEmpty()
+
+
+def test_windows_spread_over_bands_are_not_broadcast(spark):
+    layout = spark.createDataFrame([(1, 0, 0, 24, 900, 500)], "doc_id long, page_index int, x long, y long, w long, h long")
+    windows = spark.range(1, 3).select(F.col("id").alias("doc_id"), F.lit(5.0).alias("top"), F.lit(900.0).alias("width"), F.lit(800.0).alias("height"))
+    seen = spatial.visible_pages(windows, layout, spatial.RELEASE_PADDING)
+    assert seen.count() == 1 and "Broadcast" not in seen._jdf.queryExecution().executedPlan().toString()
