@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.attrs import REFERENCE
 from pagelens.operators.skew import ordered_text, position_block, running
 
+HEAD = 512  # bytes
+
 
 def latin1(content: Column) -> Column:
     """Bytes as text with one character per byte."""
@@ -20,6 +25,49 @@ def scan_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", "content", latin1(F.col("content")).alias("text"))
 
 
+def _measured_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each split of a file: its bytes without line ends, its lines, and the first bytes of the file's first split."""
+    names = ["path", "start", "bytes", "lines", "head"]
+    held = None
+    for batch in batches:
+        for (path, start), rows in batch.groupby(["path", "start"], sort=False):
+            if held is None or held[:2] != [path, start]:
+                if held is not None:
+                    yield pd.DataFrame([held], columns=names)
+                held = [path, start, 0, 0, b""]
+            held[2:4] = held[2] + int(rows["size"].sum()), held[3] + len(rows)
+            if start == 0 and len(held[4]) < HEAD:
+                held[4] = (held[4] + b"".join(bytes(line) + b"\n" for line in rows["line"].iloc[:HEAD]))[:HEAD]
+    if held is not None:
+        yield pd.DataFrame([held], columns=names)
+
+
+def measure_corpus(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files with path, length, chars (of the Latin-1 text: the bytes that were read) and head, the first bytes.
+
+    Files are read in splits, as lines cut at newline bytes only, so no task holds a whole file and a file may have any
+    size; memory is that of the longest line. A newline is counted for each line, and a file that does not end with one
+    has a byte less. The reader leaves out the three bytes of a leading byte order mark. File names must not end as those
+    of compressed files do, which the reader would unpack. As in ``scan_corpus``, empty files give no row.
+    """
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    files = reader.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    start = F.col("_metadata.file_block_start")
+    lines = reader.format("text").option("lineSep", "\n").load(path).select(
+        F.col("_metadata.file_path").alias("path"), start.alias("start"), F.octet_length("value").alias("size"),
+        F.when(start == 0, F.substring(F.col("value").cast("binary"), 1, HEAD)).alias("line"))
+    splits = lines.mapInPandas(_measured_splits, "path string, start long, bytes long, lines long, head binary")
+    read = splits.groupBy("path").agg(
+        F.sum(F.col("bytes") + F.col("lines")).alias("_read"), F.max(F.when(F.col("start") == 0, F.col("head"))).alias("_head"))
+    none = F.unhex(F.lit(""))
+    count = F.coalesce("_read", F.lit(0).cast("long"))  # a file of a mark alone gives no line
+    marked = count < F.col("length")
+    mark = F.when(marked, F.unhex(F.lit("EFBBBF"))).otherwise(none)
+    chars = F.least("length", count + F.when(marked, 3).otherwise(0))
+    head = F.substr(F.concat(mark, F.coalesce("_head", none)), F.lit(1), F.least(F.lit(HEAD), "length").cast("int"))
+    return files.join(read, "path", "left").select("path", "length", chars.alias("chars"), head.alias("head"))
+
+
 def extract_records(df: DataFrame, keys: list[str], text: str, header: str, end: str) -> DataFrame:
     """Records (keys, pos, head, body): a header match starts one, its body runs to the next end marker.
 

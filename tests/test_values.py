@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.attrs import attr_float, attr_int, attr_signed, number_state
 from pagelens.operators import catalog
 from pagelens.quality import quarantine
+from pagelens.sources import corpus
 
 
 def test_numbers_that_do_not_fit_are_bad_not_missing(spark):
@@ -79,3 +80,16 @@ def test_color_spaces_of_many_rows_take_seconds(spark):
     kinds = catalog.resolve_color_spaces(bodies, "id", "body", objects, profiles, named).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in kinds} == {"DeviceCMYK": 333_334, "pattern": 333_333, "DeviceRGB": 333_333}
     assert time.time() - begun < 30
+
+
+def test_files_are_measured_in_splits(spark, tmp_path):
+    contents = [b"\n", bytes(range(256)) * 9, b"\xff\xd8\xff\xe0\r\nx\n", b"\xef\xbb\xbfab\ncd", b"\xef\xbb\xbf", b"\n\n" * 900, b"x" * 70000 + b"\ny" * 9]
+    for n, content in enumerate(contents):
+        (tmp_path / f"{n}.bin").write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {int(r["path"].split("/")[-1][:-4]): r for r in corpus.measure_corpus(spark, str(tmp_path), "*.bin").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for n, content in enumerate(contents):
+        assert (got[n]["length"], got[n]["chars"], bytes(got[n]["head"])) == (len(content), len(content), content[:512]), n
