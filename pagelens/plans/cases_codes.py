@@ -194,9 +194,11 @@ def e8(t):
     fonts = docs.select("font").distinct().select(
         "font", F.when(F.col("font").endswith("1"), "Courier").otherwise("Other").alias("base_font"),
         F.when(F.col("font").endswith("2"), 250.0).otherwise(0.0).alias("missing"))
-    glyphs = t.glyph().join(docs, "doc_id").select("doc_id", "font", "code")
+    # glyphs of one code in a document have one width, so they are counted before it is looked up
+    counts = t.glyph().groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("times"))
+    glyphs = counts.join(docs, "doc_id").select("doc_id", "font", "code", "times")
     return cd.lookup_width(glyphs, cid, wid, uni, enc, fonts).groupBy("doc_id", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("width"), 3).alias("total"))
+        F.sum("times").alias("n"), F.round(F.sum(F.col("width") * F.col("times")), 3).alias("total"))
 
 
 FONT_SQL = """concat(CASE p_partkey % 3 WHEN 0 THEN 'ABCDEF+' ELSE '' END, CASE p_partkey % 11 WHEN 0 THEN 'CMMI10' WHEN 1 THEN 'TimesNewRomanPS-BoldMT'

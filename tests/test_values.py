@@ -100,3 +100,12 @@ def test_range_codes_are_folded_without_a_sort(spark):
     got = codes.expand_ranges(ranges, ["font"])
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["code"]: r["text"] for r in got.collect()} == {0: chr(65 + 48), 1: chr(65 + 49), **{c: chr(65 + 49 + c - 1) for c in range(2, 10)}}
+
+
+def test_widths_are_looked_up_once_a_code_and_document(tables, monkeypatch):
+    from pagelens.plans import cases_codes
+
+    seen, real = [], codes.lookup_width
+    monkeypatch.setattr(cases_codes.cd, "lookup_width", lambda glyphs, *rest: seen.append(glyphs) or real(glyphs, *rest))
+    cases_codes.e8(tables)
+    assert seen[0].count() == seen[0].select("doc_id", "code").distinct().count()
