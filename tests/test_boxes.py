@@ -1,8 +1,13 @@
 """Boxes placed by page: what is moved, and that small and large pages give the same rows."""
 
+import pytest
 from pyspark.sql import functions as F
+from test_golden import BOX_SCHEMA, dense_page
 
+from pagelens.functions import rules
+from pagelens.operators import blocks
 from pagelens.operators.skew import crowded_keys, position_by_size
+from pagelens.plans.catalog_of_cases import all_cases
 
 ORDER = ["pos", "id"]
 
@@ -37,3 +42,18 @@ def test_names_are_joined_before_boxes_are_numbered(spark, tables, tmp_path):
         (rows.unionByName(rows.limit(3)) if name == "part" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
     box = type(tables)(spark, str(tmp_path)).box()
     assert box.groupBy("page_id", "idx").count().filter("count > 1").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["O2_pair_geometry", "O3_pair_candidates", "O4_same_line", "O5_merge_text_blocks", "O11_pair_classes"])
+def test_pairs_move_boxes_by_page_only(name, tables):
+    moved = shuffles(all_cases()[name][0](tables))
+    assert len(moved) == 2 and all("hashpartitioning(page_id" in line for line in moved)  # the same rows for both sides
+
+
+@pytest.mark.parametrize("rule", [rules.VECTOR_PRIMITIVES, rules.TEXT_BLOCKS, rules.TEXT_VECTOR, rules.HOVER_VECTORS])
+def test_pages_find_the_pairs_of_the_grid(spark, rule):
+    box = spark.createDataFrame(dense_page(220), BOX_SCHEMA)
+    more = F.col("a.idx").alias("left"), F.col("b.x1").alias("right_edge")
+    near = [rows_of(blocks.pair_candidates(box, rule, *more, large=large).select("page_id", "a", "b", "left", "right_edge")) for large in (True, False)]
+    assert near[0] == near[1] and len(near[0]) > 0
+    assert rows_of(blocks.merge_edges(box, rule, large=False)) == rows_of(blocks.small_page_edges(box, rule))
