@@ -57,3 +57,26 @@ def test_pages_find_the_pairs_of_the_grid(spark, rule):
     near = [rows_of(blocks.pair_candidates(box, rule, *more, large=large).select("page_id", "a", "b", "left", "right_edge")) for large in (True, False)]
     assert near[0] == near[1] and len(near[0]) > 0
     assert rows_of(blocks.merge_edges(box, rule, large=False)) == rows_of(blocks.small_page_edges(box, rule))
+
+
+def test_long_conditions_stay_out_of_joins_and_filters(spark, tables):
+    box = spark.createDataFrame(dense_page(20), BOX_SCHEMA)
+    for df in (blocks.merge_edges(box, rules.TEXT_BLOCKS, large=False), blocks.clean_boxes(tables.box())):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("Generate explode" in line for line in plan)
+        assert all(len(line) < 2500 for line in plan if "Join" in line or "Filter" in line)
+
+
+def test_boxes_without_extent_are_dropped(spark):
+    nan, inf = float("nan"), float("inf")
+    edges = [(5.0, 5.0), (9.0, 2.0), (nan, 1.0), (nan, nan), (inf, inf), (inf, 1.0), (None, 4.0), (None, None), (1e18, 1e18)]
+    box = spark.createDataFrame([(1, n, "Text", a, 0.0, b, 8.0, None) for n, (a, b) in enumerate(edges)], BOX_SCHEMA)
+    got = {r["idx"]: (r["x0"], r["x1"]) for r in blocks.clean_boxes(box).collect()}
+    assert got == {0: (4.5, 5.5), 1: (2.0, 9.0), 5: (1.0, inf), 6: (3.5, 4.5)}
+
+
+def test_one_large_page_beside_small_ones(spark, tables):
+    small, more = (spark.createDataFrame([(page, *row[1:]) for row in dense_page(60, seed=page)], BOX_SCHEMA) for page in (1, 2))
+    box, large = small.unionByName(more), spark.createDataFrame([(2,)], "page_id long")
+    got = blocks.by_known_size(box, large, lambda rows, crowded: blocks.merge_edges(rows, rules.TEXT_BLOCKS, crowded))
+    assert rows_of(got) == rows_of(blocks.small_page_edges(box, rules.TEXT_BLOCKS))
