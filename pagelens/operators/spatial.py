@@ -25,17 +25,20 @@ NEIGHBOURS = 2
 # --- points on boxes ---------------------------------------------------------------------------
 
 def probe_candidates(
-    probes: DataFrame, boxes: DataFrame, tolerance: float = HOVER_TOLERANCE, pages: DataFrame | None = None
+    probes: DataFrame, boxes: DataFrame, tolerance: float = HOVER_TOLERANCE, pages: DataFrame | None = None, large: bool = True
 ) -> DataFrame:
     """Each probe (probe_id, page_id, x, y) with the boxes that contain it after widening.
 
-    With ``pages`` (page_id, width, height) probes outside their page find nothing.
+    With ``pages`` (page_id, width, height) probes outside their page find nothing. Without ``large``, for pages of a
+    checked size, probes and boxes meet on the page; boxes are neither repeated nor moved by cell.
     """
     if pages is not None:
         probes = probes.join(pages, "page_id").filter(
             F.col("x").between(F.lit(0), F.col("width")) & F.col("y").between(F.lit(0), F.col("height"))
         ).select("probe_id", "page_id", "x", "y")
     area = Rect.of().inflate(tolerance)
+    if not large:
+        return probes.join(boxes, "page_id").filter(area.contains(F.col("x"), F.col("y")))
 
     def steps(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL)))
@@ -106,9 +109,9 @@ def hover_score(x: Column, y: Column, r: Rect, kind: Column, content: Column) ->
     return F.log(_area(r) + 1) * 0.55 + (dx * dx + dy * dy) * 0.35 + edge * 0.10 + bias
 
 
-def hit_test(probes: DataFrame, boxes: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def hit_test(probes: DataFrame, boxes: DataFrame, pages: DataFrame | None = None, large: bool = True) -> DataFrame:
     """The object under each probe: probe_id, page_id, idx, kind, score."""
-    kept = drop_dominated(probe_candidates(probes, boxes, pages=pages))
+    kept = drop_dominated(probe_candidates(probes, boxes, pages=pages, large=large))
     score = hover_score(F.col("x"), F.col("y"), Rect.of(), F.col("kind"), F.col("content"))
     scored = kept.select("probe_id", "page_id", "idx", "kind", score.alias("score"))
     return first_by(scored, ["probe_id"], ["score", "idx"]).select("probe_id", "page_id", "idx", "kind", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelens.operators import layout as lay
 from pagelens.operators import spatial as sp
+from pagelens.operators.blocks import by_known_size
 from pagelens.operators.skew import first_by
 from pagelens.plans.fixtures import with_views
 from pagelens.plans.registry import case
@@ -181,14 +182,20 @@ KEPT_SQL = """SELECT c.* FROM cand c LEFT JOIN gone g ON c.probe_id = g.probe_id
 CAND = {"cand": f"SELECT *, greatest(1, (x1 - x0) * (y1 - y0)) AS area FROM ({CAND_SQL})", "gone": DOMINATED_SQL}
 
 
+def _candidates(t):
+    probes, sides = t.probe(), _sides(t)
+    return by_known_size(
+        t.box(), t.large_pages, lambda boxes, large: sp.probe_candidates(probes, boxes, pages=sides, large=large))
+
+
 @case("H1_probe_candidates", with_views("box probe page_dim", "SELECT probe_id, page_id, idx, kind FROM cand", extra=CAND))
 def h1(t):
-    return sp.probe_candidates(t.probe(), t.box(), pages=_sides(t)).select("probe_id", "page_id", "idx", "kind")
+    return _candidates(t).select("probe_id", "page_id", "idx", "kind")
 
 
 @case("H2_drop_dominated", with_views("box probe page_dim", f"SELECT probe_id, page_id, idx, kind FROM ({KEPT_SQL})", extra=CAND))
 def h2(t):
-    kept = sp.drop_dominated(sp.probe_candidates(t.probe(), t.box(), pages=_sides(t)))
+    kept = sp.drop_dominated(_candidates(t))
     return kept.select("probe_id", "page_id", "idx", "kind")
 
 
@@ -202,7 +209,9 @@ def h2(t):
         + CASE WHEN kind = 'Image' THEN -0.35 WHEN kind = 'Text' AND length(trim(content)) > 0 THEN -0.15 ELSE 0 END AS score
       FROM ({KEPT_SQL}))) WHERE rn = 1""", extra=CAND))
 def h3(t):
-    return sp.hit_test(t.probe(), t.box(), pages=_sides(t)).withColumn("score", F.round("score", 6))
+    probes, sides = t.probe(), _sides(t)
+    found = by_known_size(t.box(), t.large_pages, lambda boxes, large: sp.hit_test(probes, boxes, sides, large))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @case("H5_visible_pages", with_views(

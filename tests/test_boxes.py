@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_golden import BOX_SCHEMA, dense_page
 
 from pagelens.functions import rules
-from pagelens.operators import blocks
+from pagelens.operators import blocks, spatial
 from pagelens.operators.skew import crowded_keys, position_by_size
 from pagelens.plans.catalog_of_cases import all_cases
 
@@ -75,6 +75,14 @@ def test_boxes_without_extent_are_dropped(spark):
     assert got == {0: (4.5, 5.5), 1: (2.0, 9.0), 5: (1.0, inf), 6: (3.5, 4.5)}
 
 
+def test_probes_find_the_same_boxes_by_page_and_by_cell(spark, tables):
+    box = spark.createDataFrame(dense_page(220), BOX_SCHEMA)
+    probes = spark.range(300).select(F.col("id").alias("probe_id"), F.lit(1).cast("long").alias("page_id"), (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 37).cast("double").alias("y"))
+    found = [rows_of(spatial.hit_test(probes, box, large=large)) for large in (True, False)]
+    assert found[0] == found[1] and len(found[0]) > 0
+    assert not any("cx" in line for line in shuffles(all_cases()["H1_probe_candidates"][0](tables)))
+
+
 def test_one_large_page_beside_small_ones(spark, tables):
     small, more = (spark.createDataFrame([(page, *row[1:]) for row in dense_page(60, seed=page)], BOX_SCHEMA) for page in (1, 2))
     box, large = small.unionByName(more), spark.createDataFrame([(2,)], "page_id long")
