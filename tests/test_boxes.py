@@ -88,3 +88,23 @@ def test_one_large_page_beside_small_ones(spark, tables):
     box, large = small.unionByName(more), spark.createDataFrame([(2,)], "page_id long")
     got = blocks.by_known_size(box, large, lambda rows, crowded: blocks.merge_edges(rows, rules.TEXT_BLOCKS, crowded))
     assert rows_of(got) == rows_of(blocks.small_page_edges(box, rules.TEXT_BLOCKS))
+
+
+def test_page_objects_move_boxes_once(tables):
+    moved = shuffles(all_cases()["O18_page_objects"][0](tables))
+    assert len(moved) == 1 and "hashpartitioning(page_id" in moved[0]
+
+
+def test_page_objects_of_small_and_large_pages(spark):
+    rows = [(page, *row[1:]) for page in range(4) for row in dense_page(30 + 40 * page, seed=page)]
+    rows += [(8, 0, "Image", 0.0, 0.0, 5.0, 5.0, None), (9, 0, "Text", 0.0, 0.0, 5.0, 5.0, " kept ")]
+    box = blocks.clean_boxes(spark.createDataFrame(rows, BOX_SCHEMA))
+    got, want = (rows_of(blocks.merged_objects(box, large).select(*blocks.BOX)) for large in (False, True))
+    assert got == want and {r[0] for r in got} == {0, 1, 2, 3, 8, 9}
+
+
+def test_rules_do_not_join_boxes_without_a_page(spark):
+    texts = [(None, n, "Text", 20.0 * n, 0.0, 20.0 * n + 9, 9.0, f" {n}") for n in range(2)]
+    vectors = [(None, n, "VectorPath", 0.0, 50.0, 9.0 + n, 60.0, None) for n in (2, 3)]
+    got = blocks.merged_objects(blocks.clean_boxes(spark.createDataFrame(texts + vectors, BOX_SCHEMA)))
+    assert rows_of(got.select("idx", "x1", "content")) == [(0, 29.0, "0 1"), (2, 11.0, None), (3, 12.0, None)]
