@@ -24,7 +24,7 @@ def odd(spark, tmp_path_factory):
     return Tables(spark, str(folder)), con
 
 
-@pytest.mark.parametrize("name", ["C10_merge_maps", "E7_winansi_table"])
+@pytest.mark.parametrize("name", ["C10_merge_maps", "E7_winansi_table", "T1_glyph_advance"])
 def test_an_empty_text_is_one_empty_glyph(odd, name):
     tables, con = odd
     build, sql = all_cases()[name]
